@@ -223,3 +223,96 @@ for _kind, _cols in RCA_COLUMNS.items():
     ORACLE[rca_key(_kind)] = with_rc(
         f"SELECT {', '.join(RCA_COMMON + _cols)} FROM flat WHERE error_type = {_q(_kind)}"
     )
+
+
+# ---------------------------------------------------------------------------
+# Family B
+# ---------------------------------------------------------------------------
+
+_NORM = (
+    "list_sort(list_distinct(list_filter(flatten(list_transform(action_list, "
+    "lambda a: list_transform(string_split(a, ','), lambda x: lower(trim(x))))), lambda x: x <> '')))"
+)
+PLAN_CTES = f""",
+nb AS (SELECT *, {_NORM} AS norm FROM rc),
+pairs AS (
+  SELECT mm.log_path, e AS old_name, m AS new_name
+  FROM (SELECT log_path, unnest(miss_cols) AS m FROM rc) mm
+  JOIN (SELECT log_path, unnest(extra_cols) AS e FROM rc) ee ON mm.log_path = ee.log_path
+  WHERE starts_with(lower(e), lower(substr(m, 1, 3))) OR length(e) >= 3
+),
+npairs AS (SELECT log_path, count(*) AS n FROM pairs GROUP BY log_path)"""
+
+
+def with_plan(select: str) -> str:
+    return with_rc(PLAN_CTES + "\n" + select)
+
+
+_RULES = " UNION ALL ".join(
+    f"SELECT {_q(name)} AS rule, unnest({_list(trig)}) AS action" for name, (_, trig, _) in C.FIX_RULES.items()
+)
+_ROUTES = " UNION ALL ".join(f"SELECT {_q(a)} AS action, {_q(s)} AS next_step" for a, s in C.ROUTES.items())
+
+ORACLE.update(
+    {
+        "normalized_actions": with_plan(
+            "SELECT log_path, array_to_string(norm, ',') AS actions, CAST(len(norm) AS BIGINT) AS n_actions FROM nb"
+        ),
+        "fix_plans_review": with_plan(
+            """SELECT log_path,
+  list_has_any(norm, ['optimize_join', 'broadcast_or_repartition']) AS broadcast,
+  CASE WHEN list_has_any(norm, ['repartition', 'salting']) THEN CAST(200 AS BIGINT) END AS repartition,
+  CASE WHEN list_has_any(norm, ['schema_update', 'code_patch']) AND len(miss_cols) > 0 AND len(extra_cols) > 0
+       THEN extra_cols[1] END AS rename_old,
+  CASE WHEN list_has_any(norm, ['schema_update', 'code_patch']) AND len(miss_cols) > 0 AND len(extra_cols) > 0
+       THEN miss_cols[1] END AS rename_new,
+  array_to_string(norm, ',') AS actions
+FROM nb"""
+        ),
+        "fix_plans_local": with_plan(
+            """SELECT log_path,
+  len(list_filter(action_list, lambda x: contains(lower(x), 'broadcast'))) > 0 AS broadcast,
+  CASE WHEN list_has_any(action_list, ['repartition', 'salting']) THEN CAST(200 AS BIGINT) END AS repartition,
+  CASE WHEN len(miss_cols) > 0 AND len(extra_cols) > 0 THEN extra_cols[1] END AS rename_old,
+  CASE WHEN len(miss_cols) > 0 AND len(extra_cols) > 0 THEN miss_cols[1] END AS rename_new,
+  array_to_string(norm, ',') AS actions
+FROM nb"""
+        ),
+        "rename_candidates": with_plan("SELECT log_path, old_name, new_name FROM pairs"),
+        "recommendations": with_plan(
+            f"""SELECT log_path, len(ch) > 0 AS applied, array_to_string(ch, ',') AS changes, n_renames,
+  CASE WHEN len(ch) > 0 THEN round(least(CAST(0.99 AS DOUBLE), greatest(CAST(0.5 AS DOUBLE),
+      CASE WHEN n_renames > 0 THEN {C.FIX_RULES['rename_column_schema'][2]} ELSE 0.5 END,
+      CASE WHEN big THEN {C.FIX_RULES['broadcast_join'][2]} ELSE 0.5 END,
+      CASE WHEN rep THEN {C.FIX_RULES['repartition_before_groupby'][2]} ELSE 0.5 END,
+      CASE WHEN cfg THEN {C.FIX_RULES['config_hint'][2]} ELSE 0.5 END)), 2)
+    ELSE CAST(0.0 AS DOUBLE) END AS fix_confidence
+FROM (
+  SELECT *, list_filter([CASE WHEN n_renames > 0 THEN 'rename_column' END,
+                         CASE WHEN big THEN 'broadcast_join' END,
+                         CASE WHEN rep THEN 'repartition_before_groupby' END,
+                         CASE WHEN cfg THEN 'config_hint_comment' END], lambda x: x IS NOT NULL) AS ch
+  FROM (
+    SELECT nb.log_path,
+      CAST(CASE WHEN list_has_any(norm, ['schema_update', 'code_patch']) THEN coalesce(npairs.n, 0) ELSE 0 END AS BIGINT) AS n_renames,
+      coalesce(shuffle_bytes, 0) > {C.SHUFFLE_BYTES_PLAN} AS big,
+      list_has_any(norm, ['salting', 'repartition']) OR list_contains(action_list, 'salting') AS rep,
+      list_has_any(norm, ['increase_executor_memory', 'config_change']) AS cfg
+    FROM nb LEFT JOIN npairs ON nb.log_path = npairs.log_path
+  )
+)"""
+        ),
+        "rule_matches": with_plan(
+            f"""SELECT DISTINCT a.log_path, r.rule
+FROM (SELECT log_path, unnest(norm) AS action FROM nb) a JOIN ({_RULES}) r ON a.action = r.action"""
+        ),
+        "gated_root_causes": with_rc(
+            f"SELECT log_path, error_type, confidence FROM rc WHERE confidence >= {C.CONFIDENCE_GATE}"
+        ),
+        "routes": with_rc(
+            f"""SELECT a.log_path, a.action, r.next_step
+FROM (SELECT log_path, unnest(action_list) AS action FROM rc) a JOIN ({_ROUTES}) r ON a.action = r.action"""
+        ),
+    }
+)
+ORACLE["rule_matches_table"] = ORACLE["rule_matches"]

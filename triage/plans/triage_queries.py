@@ -111,3 +111,77 @@ QUERIES = {
 }
 
 __all__ = ["QUERIES", "root_causes", "RCA_COLUMNS", "RCA_COMMON", "rca_key", "C"]
+
+
+# ---------------------------------------------------------------------------
+# Family B — repair planning over the root-cause table.
+# ---------------------------------------------------------------------------
+
+from . import fix_plans as B  # noqa: E402
+
+
+def q_normalized_actions(spark, sf_dir):
+    rc = root_causes(spark, sf_dir)
+    norm = B.normalize_actions(F.col("suggested_action_types"))
+    return rc.select(
+        "log_path", F.array_join(norm, ",").alias("actions"), F.size(norm).cast("bigint").alias("n_actions")
+    )
+
+
+def _plan_query(mode):
+    def q(spark, sf_dir):
+        p = B.plan_fixes(root_causes(spark, sf_dir), mode)
+        return p.select(
+            "log_path",
+            "broadcast",
+            F.col("repartition").cast("bigint").alias("repartition"),
+            "rename_old",
+            "rename_new",
+            F.array_join("actions", ",").alias("actions"),
+        )
+
+    return q
+
+
+def q_rename_candidates(spark, sf_dir):
+    return B.rename_candidates(root_causes(spark, sf_dir))
+
+
+def q_recommendations(spark, sf_dir):
+    r = B.recommend(root_causes(spark, sf_dir))
+    return r.select(
+        "log_path", "applied", F.array_join("changes", ",").alias("changes"), "n_renames", "fix_confidence"
+    )
+
+
+def q_rule_matches(spark, sf_dir):
+    return B.match_rules(root_causes(spark, sf_dir))
+
+
+def q_rule_matches_table(spark, sf_dir):
+    """B6 with the rules as a table (size-checked broadcast join)."""
+    return B.match_rules(root_causes(spark, sf_dir), B.rules_frame(spark))
+
+
+def q_gated_root_causes(spark, sf_dir):
+    g = B.gate(root_causes(spark, sf_dir))
+    return g.select("log_path", F.col("classification.error_type").alias("error_type"), "confidence")
+
+
+def q_routes(spark, sf_dir):
+    return B.route(root_causes(spark, sf_dir)).select("log_path", "action", "next_step")
+
+
+QUERIES.update(
+    {
+        "normalized_actions": q_normalized_actions,
+        "fix_plans_review": _plan_query("review"),
+        "fix_plans_local": _plan_query("local"),
+        "rename_candidates": q_rename_candidates,
+        "recommendations": q_recommendations,
+        "rule_matches": q_rule_matches,
+        "rule_matches_table": q_rule_matches_table,
+        "gated_root_causes": q_gated_root_causes,
+        "routes": q_routes,
+    }
+)
