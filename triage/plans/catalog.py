@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import oracle, triage_queries
+from . import oracle, repair_queries, triage_queries
 
 QUERIES = {}
 QUERIES.update(triage_queries.QUERIES)
+QUERIES.update(repair_queries.QUERIES)
 
 ORACLE = {}
 ORACLE.update(oracle.ORACLE)
+ORACLE.update(repair_queries.ORACLE)
 
 assert set(ORACLE) <= set(QUERIES), set(ORACLE) - set(QUERIES)
