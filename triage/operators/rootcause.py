@@ -225,9 +225,9 @@ def analyze(
         F.col("_total_used").alias("total_records"),
         F.col("_path").alias("missing_path"),
     )
-    rec = d.select(
-        "log_path",
-        *keep,
+    fields = [
+        F.col("log_path"),
+        *[F.col(c) for c in keep],
         F.current_timestamp().alias("detected_at"),
         root_cause.alias("root_cause"),
         F.when(F.size(evidence) == 0, F.array(F.col("error_message"))).otherwise(evidence).alias("evidence"),
@@ -235,9 +235,13 @@ def analyze(
         diagnostics.alias("diagnostics"),
         confidence.cast("double").alias("confidence"),
         hint.alias("remediation_hint"),
-        "classification",
-    )
-    return rec
+        F.col("classification"),
+    ]
+    # The record leaves through a one-row generator: a later filter on any
+    # record field (e.g. the confidence gate) stays above it instead of being
+    # inlined into every analysis expression below (which multiplies both
+    # plan size and regex evaluations).
+    return d.select(F.inline(F.array(F.struct(*fields))))
 
 
 def flatten_record(rc: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import oracle, repair_queries, triage_queries
+from . import event_queries, oracle, repair_queries, triage_queries
 
 QUERIES = {}
 QUERIES.update(triage_queries.QUERIES)
 QUERIES.update(repair_queries.QUERIES)
+QUERIES.update(event_queries.QUERIES)
 
 ORACLE = {}
 ORACLE.update(oracle.ORACLE)
 ORACLE.update(repair_queries.ORACLE)
+ORACLE.update(event_queries.ORACLE)
 
 assert set(ORACLE) <= set(QUERIES), set(ORACLE) - set(QUERIES)
