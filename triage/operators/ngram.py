@@ -33,29 +33,34 @@ def tokenize(text: Column) -> Column:
     return F.split(text, SEP, -1)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Array of ``struct(context, token)`` for every n-gram of ``tokens``; the
-    context is the first n−1 tokens joined by a space."""
-    size = F.size(tokens)
-    idx = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        idx,
-        lambda i: F.struct(
-            F.array_join(F.slice(tokens, i, n - 1), SEP).alias("context"),
-            F.element_at(tokens, i + (n - 1)).alias("token"),
-        ),
+def ngram_pattern(n: int) -> str:
+    """Zero-width match at every token start, capturing the next ``n`` tokens.
+
+    ``(?<![^ ])`` holds at the start of the text and after each space, i.e. at
+    the start of every token (empty tokens included); the look-ahead captures
+    ``n`` space-separated tokens, so overlapping n-grams come out in order.
+    """
+    return r"(?<![^ ])(?=(" + SEP.join(["[^ ]*"] * n) + "))"
+
+
+def ngram_rows(corpus: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
+    """Every n-gram occurrence as ``context, token`` (one regex scan per text,
+    inside whole-stage codegen; no per-position lambda)."""
+    g = corpus.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ngram_pattern(n)), 1)).alias("g"))
+    return g.select(
+        F.substring_index("g", SEP, n - 1).alias("context"),
+        F.substring_index("g", SEP, -1).alias("token"),
     )
 
 
+def count_rows(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ngram_counts(corpus: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
-    """``context, token, n`` over the whole corpus."""
-    # Tokens become a column first: referenced inside the lambda, an inline
-    # split() would be re-evaluated at every position (quadratic per document).
-    toks = corpus.select(tokenize(F.col(text)).alias("_toks"))
-    g = toks.select(F.explode(ngrams(F.col("_toks"), n)).alias("g"))
-    return g.groupBy(F.col("g.context").alias("context"), F.col("g.token").alias("token")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """``context, token, n`` over the whole corpus (partial aggregation
+    collapses frequent n-grams before the shuffle)."""
+    return count_rows(ngram_rows(corpus, n, text))
 
 
 def ngram_model(counts: DataFrame) -> DataFrame:
@@ -64,6 +69,21 @@ def ngram_model(counts: DataFrame) -> DataFrame:
     return counts.join(totals, "context").select("context", "token", "n", (F.col("n") / F.col("ctx_n")).alias("prob"))
 
 
+def context_model(corpus: DataFrame, contexts: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
+    """F4 restricted to the contexts in ``contexts`` (column ``context``).
+
+    N-gram occurrences are semi-joined with the wanted contexts *before*
+    counting, so only those are shuffled; a context's probabilities depend on
+    its own counts only, so the result equals the full model's rows for it.
+    The context table is broadcast only after its size is measured.
+    """
+    from .repair import auto_join
+
+    wanted = contexts.select("context").where(F.col("context").isNotNull()).distinct()
+    rows = auto_join(ngram_rows(corpus, n, text), wanted, "context", "left_semi")
+    return ngram_model(count_rows(rows))
+
+
 def prompt_context(tokens: Column, n: int) -> Column:
     """The last n−1 tokens joined; NULL for a shorter prompt (it has no context)."""
     size = F.size(tokens)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ngram as G
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 N = 3  # trigram model, as in the lab
 TOP_K = 30  # tokens shown per prompt
@@ -15,7 +15,7 @@ SEED = 7
 
 
 def _corpus(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
 
 
 def _prompts(spark, sf_dir):
@@ -43,12 +43,18 @@ def q_ngram_model(spark, sf_dir):
     return G.ngram_model(_counts(spark, sf_dir))
 
 
+def _prompt_model(spark, sf_dir, prompts):
+    return G.context_model(_corpus(spark, sf_dir), G.with_context(prompts, N), N)
+
+
 def q_next_tokens(spark, sf_dir):
-    return G.next_tokens(_prompts(spark, sf_dir), G.ngram_model(_counts(spark, sf_dir)), N, TOP_K)
+    p = _prompts(spark, sf_dir)
+    return G.next_tokens(p, _prompt_model(spark, sf_dir, p), N, TOP_K)
 
 
 def q_unseen_prompts(spark, sf_dir):
-    return G.unseen(_prompts(spark, sf_dir), G.ngram_model(_counts(spark, sf_dir)), N)
+    p = _prompts(spark, sf_dir)
+    return G.unseen(p, _prompt_model(spark, sf_dir, p), N)
 
 
 def q_greedy_generation(spark, sf_dir):
@@ -73,7 +79,10 @@ def _pairs(spark, sf_dir):
 
 
 def q_prompt_comparison(spark, sf_dir):
-    return G.compare_prompts(_pairs(spark, sf_dir), G.ngram_model(_counts(spark, sf_dir)), N)
+    pairs = _pairs(spark, sf_dir)
+    ctx = pairs.select(F.col("text_a").alias("text")).unionByName(pairs.select(F.col("text_b").alias("text")))
+    model = G.context_model(_corpus(spark, sf_dir), G.with_context(ctx, N), N)
+    return G.compare_prompts(pairs, model, N)
 
 
 QUERIES = {
