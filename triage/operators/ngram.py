@@ -7,9 +7,10 @@
   and an equi-join (AQE splits a hot context), not by a window over a whole
   context.
 * Generation iterates joins of a small state table against a successor table
-  that is hash-partitioned and sorted by context once and checkpointed, so each
-  step shuffles only the state; the state is checkpointed every few steps to cut
-  lineage (reliable checkpoint in ``spark.checkpoint.dir``).
+  written once as parquet in the shared checkpoint folder; with a
+  measured-small prompt table the state is the broadcast side and the large
+  table is streamed without a shuffle.  The small state is rewritten every
+  step as a table in the same folder to cut lineage and reset statistics.
 """
 
 from __future__ import annotations
@@ -121,11 +122,16 @@ def best_successors(counts: DataFrame) -> DataFrame:
     )
 
 
-def _partitioned(df: DataFrame, partitions: int) -> DataFrame:
-    """Hash-partition and sort by context, then checkpoint: later joins on
-    ``context`` reuse the layout instead of re-shuffling this side."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.repartition(partitions, "context").sortWithinPartitions("context").checkpoint(eager=True)
+def _table(df: DataFrame) -> DataFrame:
+    """Write a successor table once as parquet in the shared checkpoint folder
+    and read it back: the corpus is counted once, and every generation step
+    scans a columnar file instead of recomputing (or deserialising) rows."""
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/triage-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _start_state(prompts: DataFrame, n: int, key: str, text: str) -> DataFrame:
@@ -140,12 +146,30 @@ def _start_state(prompts: DataFrame, n: int, key: str, text: str) -> DataFrame:
     )
 
 
-def _iterate(state: DataFrame, table: DataFrame, steps: int, key: str, pick, checkpoint_every: int) -> DataFrame:
+def _small(prompts: DataFrame) -> bool:
+    from .repair import fits_broadcast
+
+    return fits_broadcast(prompts, max_rows=1_000_000)
+
+
+def _generate(state, table, steps, key, small, condition):
+    """Shared loop.  Each step finds at most one successor per live prompt
+    (``hits``: ``key, next``) and appends it; a prompt without one stops.
+
+    ``small``: the state (one row per prompt, measured once) is the broadcast
+    build side and the successor table is streamed past it — no shuffle of the
+    large side.  Otherwise both joins are shuffle joins.
+    """
     for step in range(steps):
-        s = state.withColumn("context", F.array_join("ctx_tokens", SEP))
-        j = s.join(table, "context", "left")
-        chosen = pick(j, step)
-        nxt = F.when(F.col("alive") & chosen.isNotNull(), chosen)
+        live = state.where("alive").select(key, F.array_join("ctx_tokens", SEP).alias("context"))
+        probe = F.broadcast(live) if small else live
+        cond = F.col("t.context") == F.col("s.context")
+        extra = condition(step)
+        if extra is not None:
+            cond = cond & extra
+        hits = table.alias("t").join(probe.alias("s"), cond).select(F.col(f"s.{key}").alias(key), F.col("t.next").alias("next"))
+        j = state.join(F.broadcast(hits) if small else hits, key, "left")
+        nxt = F.col("next")
         state = j.select(
             key,
             F.when(nxt.isNotNull(), F.concat(F.slice("ctx_tokens", 2, 1_000_000), F.array(nxt))).otherwise(
@@ -156,8 +180,11 @@ def _iterate(state: DataFrame, table: DataFrame, steps: int, key: str, pick, che
             ),
             (F.col("alive") & nxt.isNotNull()).alias("alive"),
         )
-        if (step + 1) % checkpoint_every == 0 and step + 1 < steps:
-            state = state.checkpoint(eager=True)
+        # The state feeds both sides of the next step, so it is materialised every
+        # step (one small row per prompt); otherwise the plan would double per
+        # step.  A written table, not checkpoint(): a checkpoint carries the
+        # estimated statistics forward, and the join estimates compound per step.
+        state = _table(state)
     return state.select(
         key,
         F.array_join("generated", SEP).alias("generated"),
@@ -172,16 +199,12 @@ def generate_greedy(
     n: int = 3,
     key: str = "prompt_id",
     text: str = "text",
-    partitions: int | None = None,
-    checkpoint_every: int = 5,
 ) -> DataFrame:
     """append the most probable next token ``steps`` times; a prompt stops
     at the first context the model has not seen."""
-    spark = prompts.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    best = _partitioned(best_successors(counts).withColumnRenamed("token", "next"), partitions)
+    best = _table(best_successors(counts).withColumnRenamed("token", "next"))
     state = _start_state(prompts, n, key, text)
-    return _iterate(state, best, steps, key, lambda j, step: F.col("next"), checkpoint_every)
+    return _generate(state, best, steps, key, _small(prompts), lambda step: None)
 
 
 def successor_cdf(counts: DataFrame) -> DataFrame:
@@ -201,49 +224,21 @@ def generate_random(
     n: int = 3,
     key: str = "prompt_id",
     text: str = "text",
-    partitions: int | None = None,
-    checkpoint_every: int = 5,
 ) -> DataFrame:
     """F8: sample each next token from the model's distribution.
 
     The draw for (seed, prompt, step) is ``xxhash64`` reduced modulo the
-    context total — deterministic, so reruns and retried tasks agree — and
-    picks the successor whose cumulative-count interval holds it.
+    context total — deterministic, so reruns and retried tasks agree — and the
+    successor whose cumulative-count interval ``[lo, hi)`` holds it is taken.
     """
-    spark = prompts.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cdf = _partitioned(successor_cdf(counts).withColumnRenamed("token", "next"), partitions)
+    cdf = _table(successor_cdf(counts).withColumnRenamed("token", "next"))
+    state = _start_state(prompts, n, key, text)
 
-    def pick(j: DataFrame, step: int) -> Column:
-        draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(step)), F.col("total"))
-        return F.when((F.col("lo") <= draw) & (draw < F.col("hi")), F.col("next"))
+    def condition(step: int) -> Column:
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.col(f"s.{key}"), F.lit(step)), F.col("t.total"))
+        return (F.col("t.lo") <= draw) & (draw < F.col("t.hi"))
 
-    state = _start_state(prompts, n, key, text)
-    for step in range(steps):
-        s = state.withColumn("context", F.array_join("ctx_tokens", SEP))
-        j = s.join(cdf, "context", "left")
-        # keep the one successor hit by the draw (or the row itself when the
-        # context is unseen or the prompt has stopped)
-        hit = pick(j, step)
-        j = j.withColumn("_hit", hit).where(F.col("_hit").isNotNull() | F.col("next").isNull())
-        nxt = F.when(F.col("alive"), F.col("_hit"))
-        state = j.select(
-            key,
-            F.when(nxt.isNotNull(), F.concat(F.slice("ctx_tokens", 2, 1_000_000), F.array(nxt))).otherwise(
-                F.col("ctx_tokens")
-            ).alias("ctx_tokens"),
-            F.when(nxt.isNotNull(), F.concat("generated", F.array(nxt))).otherwise(F.col("generated")).alias(
-                "generated"
-            ),
-            (F.col("alive") & nxt.isNotNull()).alias("alive"),
-        )
-        if (step + 1) % checkpoint_every == 0 and step + 1 < steps:
-            state = state.checkpoint(eager=True)
-    return state.select(
-        key,
-        F.array_join("generated", SEP).alias("generated"),
-        F.size("generated").cast("bigint").alias("n_generated"),
-    )
+    return _generate(state, cdf, steps, key, _small(prompts), condition)
 
 
 def compare_prompts(pairs: DataFrame, model: DataFrame, n: int = 3) -> DataFrame:
