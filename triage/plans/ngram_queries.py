@@ -100,7 +100,7 @@ _COUNTS = """tk AS (
   SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos
   FROM (SELECT doc_id, string_split(text, ' ') AS toks FROM documents)
 ),
-counts AS (
+counts AS MATERIALIZED (
   SELECT a.tok || ' ' || b.tok AS context, c.tok AS token, count(*) AS n
   FROM tk a JOIN tk b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
             JOIN tk c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2
@@ -110,7 +110,7 @@ model AS (
   SELECT c.context, c.token, c.n, c.n / t.ctx_n AS prob
   FROM counts c JOIN (SELECT context, sum(n) AS ctx_n FROM counts GROUP BY context) t ON c.context = t.context
 ),
-p AS (SELECT item_id AS prompt_id, text, string_split(text, ' ') AS toks FROM benchmark),
+p AS MATERIALIZED (SELECT item_id AS prompt_id, text, string_split(text, ' ') AS toks FROM benchmark),
 pc AS (
   SELECT prompt_id, CASE WHEN len(toks) >= 2 THEN array_to_string(toks[len(toks) - 1:len(toks)], ' ') END AS context
   FROM p
@@ -140,7 +140,7 @@ WHERE rank <= {TOP_K}""",
     "unseen_prompts": f"""WITH {_COUNTS}
 SELECT prompt_id, context FROM pc WHERE context IS NULL OR context NOT IN (SELECT context FROM counts)""",
     "greedy_generation": f"""WITH RECURSIVE {_COUNTS},
-best AS (SELECT context, arg_min(token, (-n, token)) AS nxt FROM counts GROUP BY context),
+best AS MATERIALIZED (SELECT context, arg_min(token, (-n, token)) AS nxt FROM counts GROUP BY context),
 gen AS (
   SELECT prompt_id, 0 AS step, CASE WHEN len(toks) >= 2 THEN toks[len(toks) - 1:len(toks)] END AS ctx,
     CAST([] AS VARCHAR[]) AS out
