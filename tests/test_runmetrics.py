@@ -46,3 +46,14 @@ def test_run_metrics(spark):
     assert M.oom_signals(tasks).count() == 0
     assert M.shuffle_blowups(tasks, threshold=1).count() > 0
     M.stragglers(tasks).collect()
+
+    from pyspark.sql import functions as F
+    from triage.operators.rootcause import analyze
+
+    app = tasks.select("app_id").first().app_id
+    logs = spark.createDataFrame(
+        [("a", "WARN: skew_ratio=0.9", app), ("b", "java.lang.OutOfMemoryError", app), ("c", "skew_ratio=0.9", "other-app")],
+        "log_path string, log_text string, app_id string",
+    )
+    got = {r.log_path: r.confirmed for r in M.confirm(analyze(logs, keep=["app_id"]), tasks).collect()}
+    assert got == {"a": True, "b": False, "c": False}

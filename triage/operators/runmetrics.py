@@ -107,3 +107,42 @@ def shuffle_blowups(tasks: DataFrame, threshold: int = C.SHUFFLE_BYTES_HIGH) ->
     return tasks.groupBy(*STAGE).agg(F.sum("shuffle_written").alias("shuffle_written")).where(
         F.col("shuffle_written") > threshold
     )
+
+
+def app_signals(tasks: DataFrame, skew_factor: float = 1.5, threshold: int = C.SHUFFLE_BYTES_HIGH) -> DataFrame:
+    """Per application: worst stage skew (largest task read over the stage's
+    mean read), OOM failures, spill and whether any stage's shuffle write
+    exceeds ``threshold``."""
+    st = tasks.groupBy(*STAGE).agg(
+        (F.max("shuffle_read") / F.nullif(F.avg("shuffle_read"), F.lit(0))).alias("stage_skew"),
+        F.sum("shuffle_written").alias("written"),
+    )
+    per_stage = st.groupBy("app_id").agg(
+        F.max("stage_skew").alias("max_stage_skew"),
+        F.max(F.col("written") > threshold).alias("shuffle_blowup"),
+    )
+    per_task = tasks.groupBy("app_id").agg(
+        F.count_if(F.col("failed") & F.col("failure_text").rlike(ci(C.SIGNATURES["OOM"]))).alias("oom_tasks"),
+        F.sum(F.coalesce("memory_spilled", F.lit(0)) + F.coalesce("disk_spilled", F.lit(0))).alias("spilled"),
+    )
+    return per_stage.join(per_task, "app_id").withColumn(
+        "skewed", F.coalesce(F.col("max_stage_skew") >= skew_factor, F.lit(False))
+    )
+
+
+def confirm(rc: DataFrame, tasks: DataFrame, skew_factor: float = 1.5) -> DataFrame:
+    """Left-join root-cause records (with an ``app_id`` column) to their
+    application's run signals; ``confirmed`` says whether the metrics agree
+    with the classified cause (Skew: a skewed stage; OOM/GC: OOM failures or
+    spill; large-shuffle actions: a shuffle blow-up).  Unknown apps stay
+    unconfirmed."""
+    sig = app_signals(tasks, skew_factor)
+    j = rc.join(sig, "app_id", "left")
+    et = F.col("classification.error_type")
+    confirmed = (
+        F.when(et == "Skew", F.col("skewed"))
+        .when(et.isin("OOM", "GC"), (F.col("oom_tasks") > 0) | (F.col("spilled") > 0))
+        .otherwise(F.exists("suggested_action_types", lambda a: a.isin("optimize_join", "broadcast_or_repartition"))
+                   & F.col("shuffle_blowup"))
+    )
+    return j.withColumn("confirmed", F.coalesce(confirmed, F.lit(False)))
