@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -15,7 +15,7 @@ MARK = "<|endoftext|>"
 #: Letters of the languages met most; a run of them in front of an ASCII non-letter is a piece.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SLICE_CHARS = 2_000_000
-MOST_KEPT = 400_000
+MOST_KEPT = 600_000
 MOST_IDS_KEPT = 4_000_000
 MISSES_AT_ONCE = 20_000
 
@@ -26,7 +26,8 @@ class Encoder:
     Both tokenizers cut a text in front of each run of white space before they
     merge, and behind each run of letters, so a text's ids are those of such
     pieces one after the other.  The ids of pieces seen are kept in a
-    table, which is emptied when it holds over MOST_KEPT pieces; new ones are
+    table; when it holds over MOST_KEPT pieces, those met once are dropped.
+    New pieces of letters go to the tokenizer's merges directly, others are
     encoded many at a call, parted by the tokenizer's own end mark.
 
     ``spaces``: white space yields ids (byte-level tokenizers) or is dropped.
@@ -55,17 +56,30 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int32)
+        self.met = np.zeros(1 << 12, np.int32)
         self.n_ids = 0
 
+    def _drop_rare(self) -> None:
+        place, flat, first, size, met = self.place, self.flat, self.first, self.size, self.met
+        least = max(2, int(np.median(met[: len(place)])) + 1)
+        kept = [(w, k) for w, k in place.items() if met[k] >= least]
+        self.forget()
+        if kept:
+            words, at = zip(*kept)
+            at = np.array(at)
+            ids = np.concatenate([flat[a : a + n] for a, n in zip(first[at].tolist(), size[at].tolist())])
+            self._add(words, ids, size[at])
+
     def _add(self, words: Sequence[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, at = len(words), len(self.place)
         while at + n > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+            self.first, self.size, self.met = (np.resize(x, 2 * len(x)) for x in (self.first, self.size, self.met))
         while self.n_ids + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.n_ids : self.n_ids + len(ids)] = ids
         self.first[at : at + n] = self.n_ids + np.cumsum(sizes) - sizes
         self.size[at : at + n] = sizes
+        self.met[at : at + n] = 0
         self.n_ids += len(ids)
         self.place.update(zip(words, range(at, at + n)))
 
@@ -93,11 +107,13 @@ class Encoder:
     def _of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and each word's number of ids."""
         if len(self.place) > MOST_KEPT or self.n_ids > MOST_IDS_KEPT:
-            self.forget()
-        missing = set(words).difference(self.place)
-        if missing:
-            self._learn(sorted(missing))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self._drop_rare()
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(sorted({words[k] for k in new}))
+            at[new] = [self.place[words[k]] for k in new]
+        self.met[: len(self.place)] += np.bincount(at, minlength=len(self.place)).astype(np.int32)
         sizes = self.size[at].astype(np.int64)
         ends = np.cumsum(sizes)
         where = np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -141,3 +157,17 @@ class Encoder:
         ids, sizes = self._of(words)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         yield from np.split(ids, ends[:-1])
+
+
+def encoder(path: str, spaces: bool) -> Encoder:
+    """This process's encoder: a worker keeps it, with the pieces it knows, from task to task.
+
+    It is kept with the tokenizers library, since functions of this package
+    arrive by value with each task and their module's names end with it.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("kept_encoders", {})
+    if (path, spaces) not in kept:
+        kept[path, spaces] = Encoder(path, spaces)
+    return kept[path, spaces]

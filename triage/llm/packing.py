@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .encoding import Encoder
+from .encoding import encoder
 from .numbering import number_within
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -37,12 +37,12 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, spaces=False)
+        encode = encoder(tokenizer_path, spaces=False).encode
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
         for batch in batches:
             out: list[tuple] = []
             texts = (x.as_py() for x in batch["text"])
-            for doc_id, row, ids in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), encoder.encode(texts)):
+            for doc_id, row, ids in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), encode(texts)):
                 ids = np.append(ids, np.int32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triage.sources.tables import read_table
 
-from . import packing, sharding, token_store
+from . import mixing, packing, quality_rules, sharding, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +28,16 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.schedule(read_table(spark, sf_dir, "documents"))
+    return planned.select(F.col("m_doc").alias("doc_id"), F.col("m_source").alias("source"), F.col("m_bytes").alias("bytes"), "block", "release", "deadline", "slot", "in_mix")
+
+
+def op4_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"])
+    return judged.select("row.doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
@@ -34,6 +45,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_pfair_mixing": op3_pfair_mixing,
+    "op4_certified_rules": op4_certified_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import scratch
-from .encoding import Encoder
+from .encoding import encoder
 
 BLOCK_IDS = 1 << 20
 BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<long>, ranked array<int>, control binary, data binary"
@@ -63,7 +63,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _blocks(tokenizer_path: str, end_id: int, block_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, spaces=True)
+        encode = encoder(tokenizer_path, spaces=True).encode
         part = TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ranked", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())])
         block, first, held, docs, n = 0, 0, [], [], 0
@@ -81,7 +81,7 @@ def _blocks(tokenizer_path: str, end_id: int, block_ids: int):
             return row
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(_texts(batch["text"]))):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(_texts(batch["text"]))):
                 held.append(np.append(ids, np.int32(end_id)))
                 docs.append(doc_id)
                 n += len(ids) + 1
