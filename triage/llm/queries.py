@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from triage.sources.tables import read_table
 
-from . import mixing, packing, quality_rules, sharding, token_store
+from . import langid, mixing, packing, quality_model, quality_rules, sharding, token_store
+
+
+QUALITY_CUT = 0.7
 
 
 def tokenizer(name: str) -> str:
@@ -38,6 +41,16 @@ def op4_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op6_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"])
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id, (quality_model.fold(doc_id, 4) == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+def op7_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=2048)
 
@@ -47,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_certified_rules": op4_certified_rules,
+    "op6_quality_network": op6_quality_network,
+    "op7_language_field": op7_language_field,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
