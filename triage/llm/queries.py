@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triage.sources.tables import read_table
 
-from . import langid, mixing, packing, quality_model, quality_rules, sharding, token_store
+from . import langid, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_store
 
 
 QUALITY_CUT = 0.7
@@ -41,6 +41,10 @@ def op4_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op5_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"])
     doc_id = F.col("row.doc_id")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_certified_rules": op4_certified_rules,
+    "op5_minhash_near_copies": op5_minhash_near_copies,
     "op6_quality_network": op6_quality_network,
     "op7_language_field": op7_language_field,
     "op10_best_fit_packing": op10_best_fit_packing,
