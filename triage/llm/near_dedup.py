@@ -2,9 +2,9 @@
 
 1. A document's set are its distinct word shingles; equal sets are one class,
    named by its smallest ``doc_id``, and only classes are compared.
-2. Signatures of 80 minima are cut into 16 bands of 5; classes that agree on a
-   band share a bucket (a pair at the threshold 0.85 is missed with
-   probability below 1e-4).
+2. Signatures of 80 minima are cut into bands, as long as a pair at the threshold
+   is missed with probability below 1e-4 (16 of 5 at 0.85, 20 of 4 at 0.8);
+   classes that agree on a band share a bucket.
 3. In each bucket every class is first paired with the bucket's smallest, so
    a bucket of m classes gives m - 1 candidates.  Buckets whose classes are not
    all linked after that are compared in full, in blocks of about 256 classes by
@@ -38,9 +38,8 @@ from . import scratch
 from .components import components
 from .words import Words, mix, slices, words_of
 
-BANDS, ROWS, BATCH = 16, 5, 16
-VALUES = BANDS * ROWS
-MISS = 1e-5
+VALUES, BATCH = 80, 16
+BAND_MISS, MISS = 1e-4, 1e-5
 BLOCK = 256
 BROADCAST_IDS = 1_000_000
 
@@ -83,17 +82,28 @@ def _signed(size: int):
     return sign
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = _values(batch["signature"])
-        keys = np.zeros((len(values), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::ROWS].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["rep"].to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], names=["rep", "bucket"])
+def band_rows(threshold: float) -> int:
+    """Signature values a band: the most with which pairs at the threshold are found."""
+    fits = [r for r in range(1, 11) if (1 - threshold**r) ** (VALUES // r) <= BAND_MISS]
+    return max(fits, default=1)
+
+
+def _banded(rows: int):
+    bands = VALUES // rows
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _values(batch["signature"])[:, : bands * rows].reshape(-1, bands, rows)
+            keys = np.zeros(values.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+            for r in range(rows):
+                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["rep"].to_numpy(), bands)), pa.array(keys.ravel().view(np.int64))], names=["rep", "bucket"])
+
+    return band
 
 
 def _values(column: pa.Array) -> np.ndarray:
-    """Signatures as a matrix; band b has the columns b * ROWS to (b + 1) * ROWS - 1."""
+    """Signatures as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES) if len(column) else np.zeros((0, VALUES), np.uint32)
 
 
@@ -186,6 +196,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return scratch.saved(both.mapInArrow(_verified(size, percent), "a long, b long").distinct(), "dedup-links")
 
 
+def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents (all columns) but for those whose group has one with a smaller ``doc_id``."""
+    gone = scratch.saved(near_copies(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "dedup-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document; links have 100 x intersection >= percent x union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -197,7 +214,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     same = [F.col(f"s.{c}") == F.col(f"c.{c}") for c in key]
     reps = scratch.saved(named.alias("s").join(classes.alias("c"), [F.col("s.doc_id") == F.col("c.rep"), *same]).select("c.rep", "s.n_shingles", "s.signature").dropDuplicates(["rep", "n_shingles", "signature"]), "dedup-reps")
 
-    bands = scratch.saved(reps.select("rep", "signature").mapInArrow(_bands, "rep long, bucket long"), "dedup-bands")
+    bands = scratch.saved(reps.select("rep", "signature").mapInArrow(_banded(band_rows(percent / 100)), "rep long, bucket long"), "dedup-bands")
     hubs = bands.groupBy(F.col("bucket").alias("h_bucket")).agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where(F.col("hub") != F.col("last"))
     shared = scratch.saved(bands.join(hubs, F.col("bucket") == F.col("h_bucket")).select("bucket", "rep", "hub"), "dedup-shared")
     candidates = shared.where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triage.sources.tables import read_table
 
-from . import langid, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_store, vector_dedup
+from . import katz, langid, mixing, near_dedup, packing, quality_model, quality_rules, sharding, token_store, vector_dedup
 
 
 QUALITY_CUT = 0.7
@@ -55,6 +55,10 @@ def op7_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op9_graph_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_copies(read_table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_copies": op5_minhash_near_copies,
     "op6_quality_network": op6_quality_network,
     "op7_language_field": op7_language_field,
+    "op8_katz_backoff": op8_katz_backoff,
     "op9_graph_vector_copies": op9_graph_vector_copies,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
