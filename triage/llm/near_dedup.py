@@ -168,7 +168,7 @@ def _compared(needed: dict[int, int], threshold: float):
 
 def _verified(size: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "a_text", "b_text"):
             x, xs = shingles(words_of(batch["a_text"], lower=True), size)
             y, ys = shingles(words_of(batch["b_text"], lower=True), size)
             linked = []

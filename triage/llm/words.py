@@ -90,10 +90,10 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], *texts: str, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece has about ``most_bytes`` of text (one document at least)."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for text in texts or ("text",))
         group = np.cumsum(sizes) // most_bytes
         for k in np.unique(group):
             low, high = np.searchsorted(group, [k, k + 1])
