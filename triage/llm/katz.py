@@ -44,7 +44,7 @@ from .token_store import pack, unpack
 from .words import mix, slices, words_of
 
 MOST_DISCOUNTED = 5
-BLOCK_TOKENS = 5_000_000
+BLOCK_TOKENS = 2_500_000
 WORD_PART_BYTES, PAIR_PART_TOKENS = 16 << 20, 2_000_000
 SPREAD_SHARE = 0.001
 END = np.uint64(1)
