@@ -5,10 +5,13 @@
 2. Signatures of 80 minima are cut into bands, as long as a pair at the threshold
    is missed with probability below 1e-4 (16 of 5 at 0.85, 20 of 4 at 0.8);
    classes that agree on a band share a bucket.
-3. In each bucket every class is first paired with the bucket's smallest, so
-   a bucket of m classes gives m - 1 candidates.  Buckets whose classes are not
-   all linked after that are compared in full, in blocks of about 256 classes by
-   256, except for classes that are already in one component.
+3. In each bucket every class is first paired with a few hubs: the class that meets
+   most others in its buckets, and the first ones of fixed random orders, so a
+   bucket of m classes gives at most 5 (m - 1) candidates.  Buckets whose classes are not
+   all linked after that, nor all paired, are compared in full, in blocks of about
+   256 classes by 256, except for classes already in one component: first only
+   each class with its likeliest link to every other component, and after
+   joining those, all pairs that are left between components.
 4. Candidates are verified in batches of 16 signature values: with m of n equal,
    the posterior probability (uniform prior) that the similarity is at least the
    threshold is P(Bin(n + 1, threshold) <= m); a pair is dropped when it falls
@@ -40,7 +43,7 @@ from .words import Words, mix, slices, words_of
 
 VALUES, BATCH = 80, 16
 BAND_MISS, MISS = 1e-4, 1e-5
-BLOCK = 256
+BLOCK, HUBS = 256, 5
 BROADCAST_IDS = 1_000_000
 
 MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -134,8 +137,11 @@ def _sieved(needed: dict[int, int]):
     return sieve
 
 
-def _compared(needed: dict[int, int], threshold: float):
-    """Within runs of one block (sorted rows of a bucket's block pair): pairs of different components that survive."""
+def _compared(needed: dict[int, int], threshold: float, best: bool):
+    """Within runs of one block (sorted rows of a bucket's block pair): pairs of different components that survive.
+
+    ``best``: for each class and other component only the pair with most equal values.
+    """
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         rep, part, side = (rows[c].to_numpy() for c in ("rep", "component", "chunk"))
@@ -147,6 +153,13 @@ def _compared(needed: dict[int, int], threshold: float):
         ok &= np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
         x, y = x[ok], y[ok]
         kept = survivors(values[x], values[y], needed)
+        if best and len(kept):
+            equal = -(values[x[kept]] == values[y[kept]]).sum(axis=1)
+            mine, theirs = np.concatenate([x[kept], y[kept]]), part[np.concatenate([y[kept], x[kept]])]
+            order = np.lexsort((np.concatenate([equal, equal]), theirs, mine))
+            first = np.ones(len(order), bool)
+            first[1:] = (mine[order][1:] != mine[order][:-1]) | (theirs[order][1:] != theirs[order][:-1])
+            kept = kept[np.unique(order[first] % len(kept))]
         a, b = np.minimum(rep[x], rep[y])[kept], np.maximum(rep[x], rep[y])[kept]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -188,6 +201,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     million and joined by a shuffle beyond.
     """
     pairs = scratch.saved(pairs.distinct(), "dedup-survivors")
+    if pairs.isEmpty():
+        return pairs
     ids = scratch.saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dedup-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = scratch.saved(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi"), "dedup-texts")
@@ -215,26 +230,34 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     reps = scratch.saved(named.alias("s").join(classes.alias("c"), [F.col("s.doc_id") == F.col("c.rep"), *same]).select("c.rep", "s.n_shingles", "s.signature").dropDuplicates(["rep", "n_shingles", "signature"]), "dedup-reps")
 
     bands = scratch.saved(reps.select("rep", "signature").mapInArrow(_banded(band_rows(percent / 100)), "rep long, bucket long"), "dedup-bands")
-    hubs = bands.groupBy(F.col("bucket").alias("h_bucket")).agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where(F.col("hub") != F.col("last"))
-    shared = scratch.saved(bands.join(hubs, F.col("bucket") == F.col("h_bucket")).select("bucket", "rep", "hub"), "dedup-shared")
-    candidates = shared.where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    sizes = bands.groupBy(F.col("bucket").alias("h_bucket")).agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.saved(bands.join(sizes, F.col("bucket") == F.col("h_bucket")).select("bucket", "rep", "n"), "dedup-shared")
+    met = shared.groupBy(F.col("rep").alias("m_rep")).agg(F.sum("n").alias("met"))
+    central = F.max_by("rep", F.struct("met", "rep"))
+    firsts = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(HUBS - 1)]
+    hubs = shared.join(met, F.col("rep") == F.col("m_rep")).groupBy(F.col("bucket").alias("h_bucket")).agg(F.array_distinct(F.array(central, *firsts)).alias("hubs"))
+    shared = scratch.saved(shared.join(hubs, F.col("bucket") == F.col("h_bucket")).select("bucket", "rep", "n", "hubs"), "dedup-hubs")
+    candidates = shared.select("rep", F.explode("hubs").alias("hub")).where(F.col("rep") != F.col("hub")).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     a, b = (reps.select(F.col("rep").alias(f"{s}_rep"), F.col("n_shingles").alias(f"{s}_n"), F.col("signature").alias(s)) for s in ("left", "right"))
     paired = candidates.join(b, F.col("b") == F.col("right_rep")).join(a, F.col("a") == F.col("left_rep"))
     paired = paired.where(100 * F.least("left_n", "right_n") >= percent * F.greatest("left_n", "right_n")).select("a", "b", "left", "right")
     links = _confirm(paired.mapInArrow(_sieved(needed), "a long, b long"), docs, size, percent)
     label = components(links)
 
-    # buckets that hold several components after the first links
-    parts = shared.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("component"))
-    spread = parts.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
-    rest = parts.join(spread.select("o_bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), F.col("bucket") == F.col("o_bucket"))
-    rest = rest.join(reps.select(F.col("rep").alias("r_rep"), "n_shingles", "signature"), F.col("rep") == F.col("r_rep"))
-    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = rest.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "component", "n_shingles", "signature")
-    blocks = rest.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    more = _confirm(blocks.mapInArrow(_compared(needed, percent / 100), "a long, b long"), docs, size, percent)
-    if not more.isEmpty():
-        label = components(links.union(more))
+    open_buckets = shared.where(F.size("hubs") < F.col("n") - 1).select("bucket", "rep")  # not all pairs have been candidates
+    for best in (True, False):
+        parts = open_buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("component"))
+        spread = parts.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
+        rest = parts.join(spread.select("o_bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), F.col("bucket") == F.col("o_bucket"))
+        rest = rest.join(reps.select(F.col("rep").alias("r_rep"), "n_shingles", "signature"), F.col("rep") == F.col("r_rep"))
+        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rest = rest.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "component", "n_shingles", "signature")
+        blocks = rest.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        more = _confirm(blocks.mapInArrow(_compared(needed, percent / 100, best), "a long, b long"), docs, size, percent)
+        if more.isEmpty():
+            continue
+        links = links.union(more)
+        label = components(links)
 
     labelled = classes.join(label, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"c_{c}") for c in key], F.coalesce("label", "rep").alias("found"))
     joined = signed.join(labelled, [F.col(c) == F.col(f"c_{c}") for c in key], "left")
