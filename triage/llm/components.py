@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
+class Forest:
+    """Union-find over ids."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def unite(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every end of ``links(a, b)``: the smallest node that links reach.
 

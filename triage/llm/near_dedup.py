@@ -9,9 +9,8 @@
    most others in its buckets, and the first ones of fixed random orders, so a
    bucket of m classes gives at most 5 (m - 1) candidates.  Buckets whose classes are not
    all linked after that, nor all paired, are compared in full, in blocks of about
-   256 classes by 256, except for classes already in one component: first only
-   each class with its likeliest link to every other component, and after
-   joining those, all pairs that are left between components.
+   256 classes by 256, except for classes already in one component; a block of
+   classes gives a spanning forest of its links, not all pairs.
 4. Candidates are verified in batches of 16 signature values: with m of n equal,
    the posterior probability (uniform prior) that the similarity is at least the
    threshold is P(Bin(n + 1, threshold) <= m); a pair is dropped when it falls
@@ -38,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .components import components
+from .components import Forest, components
 from .words import Words, mix, slices, words_of
 
 VALUES, BATCH = 80, 16
 BAND_MISS, MISS = 1e-4, 1e-5
 BLOCK, HUBS = 256, 5
+COLUMNS = 8192
 BROADCAST_IDS = 1_000_000
 
 MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -91,16 +91,21 @@ def band_rows(threshold: float) -> int:
     return max(fits, default=1)
 
 
-def _banded(rows: int):
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    """The bucket of each band of each signature."""
     bands = VALUES // rows
+    values = values[:, : bands * rows].reshape(-1, bands, rows)
+    keys = np.zeros(values.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r].astype(np.uint64))
+    return keys
+
 
+def _banded(rows: int):
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = _values(batch["signature"])[:, : bands * rows].reshape(-1, bands, rows)
-            keys = np.zeros(values.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-            for r in range(rows):
-                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["rep"].to_numpy(), bands)), pa.array(keys.ravel().view(np.int64))], names=["rep", "bucket"])
+            keys = band_keys(_values(batch["signature"]), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["rep"].to_numpy(), keys.shape[1])), pa.array(keys.ravel().view(np.int64))], names=["rep", "bucket"])
 
     return band
 
@@ -137,46 +142,86 @@ def _sieved(needed: dict[int, int]):
     return sieve
 
 
-def _compared(needed: dict[int, int], threshold: float, best: bool):
-    """Within runs of one block (sorted rows of a bucket's block pair): pairs of different components that survive.
-
-    ``best``: for each class and other component only the pair with most equal values.
-    """
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        rep, part, side = (rows[c].to_numpy() for c in ("rep", "component", "chunk"))
-        size, values = rows["n_shingles"].to_numpy(), _values(rows["signature"].combine_chunks())
-        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-        one, two = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        x, y = (k.ravel() for k in np.meshgrid(one, two, indexing="ij"))
-        ok = (part[x] != part[y]) & ((rep[x] < rep[y]) if low == high else True)
-        ok &= np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
-        x, y = x[ok], y[ok]
-        kept = survivors(values[x], values[y], needed)
-        if best and len(kept):
-            equal = -(values[x[kept]] == values[y[kept]]).sum(axis=1)
-            mine, theirs = np.concatenate([x[kept], y[kept]]), part[np.concatenate([y[kept], x[kept]])]
-            order = np.lexsort((np.concatenate([equal, equal]), theirs, mine))
-            first = np.ones(len(order), bool)
-            first[1:] = (mine[order][1:] != mine[order][:-1]) | (theirs[order][1:] != theirs[order][:-1])
-            kept = kept[np.unique(order[first] % len(kept))]
-        a, b = np.minimum(rep[x], rep[y])[kept], np.maximum(rep[x], rep[y])[kept]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = np.stack([batch[c].to_numpy() for c in ("bucket", "low", "high")], axis=1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(key)]):
-                if held and any(held[-1][c][0].as_py() != batch[c][int(low)].as_py() for c in ("bucket", "low", "high")):
-                    yield pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(int(low), int(high - low)))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    return compare
+BLOCK_KEY = ["bucket", "low", "high"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows, block by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = np.stack([batch[c].to_numpy() for c in BLOCK_KEY], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            if held and any(held[-1][c][0].as_py() != batch[c][low].as_py() for c in BLOCK_KEY):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places of a block, of different components."""
+    part, side = rows["component"].to_numpy(), rows["chunk"].to_numpy()
+    low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+    x, y = (k.ravel() for k in np.meshgrid(np.flatnonzero(side == low), np.flatnonzero(side == high), indexing="ij"))
+    ok = (part[x] != part[y]) & ((x < y) if low == high else True)
+    return x[ok], y[ok]
+
+
+def _likely(needed: dict[int, int], threshold: float, rows_a_band: int):
+    """The rows of blocks that have a surviving pair; a pair counts only in the first bucket that it shares."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            size, values = rows["n_shingles"].to_numpy(), _values(rows["signature"].combine_chunks())
+            x, y = _sides(rows)
+            ok = np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
+            x, y = x[ok], y[ok]
+            kept = survivors(values[x], values[y], needed)
+            x, y = x[kept], y[kept]
+            if len(x):
+                keys = band_keys(values, rows_a_band)
+                own = (keys[x] == keys[y]).argmax(axis=1)
+                here = keys[x, own].view(np.int64) == rows["bucket"][0].as_py()
+                x, y = x[here], y[here]
+            at = np.unique(np.concatenate([x, y]))
+            yield from rows.select([*BLOCK_KEY, "chunk", "rep", "component"]).take(pa.array(at)).to_batches()
+
+    return likely
+
+
+def _linked(size: int, percent: int):
+    """A spanning forest of the links within each block, by the full sets of its texts."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            x, y = _sides(rows)
+            sets = []
+            for piece in slices(rows.to_batches()):
+                keys, first = shingles(words_of(piece["text"], lower=True), size)
+                sets += np.split(keys, first[1:-1])
+            n = np.array([len(k) for k in sets])
+            distinct, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            owner, column = np.repeat(np.arange(len(sets)), n)[met[column] > 1], column[met[column] > 1]
+            place = np.argsort(column, kind="stable")
+            owner, column = owner[place], column[place]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            for low in range(0, len(distinct), COLUMNS):  # exact: counts are far below 2^24
+                a, b = np.searchsorted(column, [low, low + COLUMNS])
+                if a < b:
+                    has = np.zeros((len(sets), COLUMNS), np.float32)
+                    has[owner[a:b], column[a:b] - low] = 1
+                    both += has @ has.T
+            common = both[x, y].astype(np.int64)
+            ok = (common > 0) & (100 * common >= percent * (n[x] + n[y] - common))
+            rep, forest = rows["rep"].to_numpy(), Forest()
+            for a, b in zip(rep[x[ok]].tolist(), rep[y[ok]].tolist()):
+                forest.unite(a, b)
+            ends = [k for k in forest.up if forest.root(k) != k]
+            yield pa.RecordBatch.from_arrays([pa.array([forest.root(k) for k in ends], pa.int64()), pa.array(ends, pa.int64())], names=["a", "b"])
+
+    return linked
 
 
 def _verified(size: int, percent: int):
@@ -194,18 +239,17 @@ def _verified(size: int, percent: int):
     return verify
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough, as a table.
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids, which are broadcast up to a million and joined by a shuffle beyond."""
+    ids = scratch.saved(ids.toDF("id").distinct(), "dedup-ids")
+    few = ids.count() <= BROADCAST_IDS
+    return scratch.saved(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi"), "dedup-texts")
+
 
-    The texts needed are found by their ids, which are broadcast up to a
-    million and joined by a shuffle beyond.
-    """
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough, as a table."""
     pairs = scratch.saved(pairs.distinct(), "dedup-survivors")
-    if pairs.isEmpty():
-        return pairs
-    ids = scratch.saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dedup-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = scratch.saved(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi"), "dedup-texts")
+    texts = _texts(docs, pairs.select("a").union(pairs.select("b")))
     a, b = (texts.select(F.col("doc_id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text")) for c in "ab")
     both = pairs.join(b, F.col("b") == F.col("b_id")).join(a, F.col("a") == F.col("a_id")).select("a", "b", "a_text", "b_text")
     return scratch.saved(both.mapInArrow(_verified(size, percent), "a long, b long").distinct(), "dedup-links")
@@ -245,19 +289,20 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     label = components(links)
 
     open_buckets = shared.where(F.size("hubs") < F.col("n") - 1).select("bucket", "rep")  # not all pairs have been candidates
-    for best in (True, False):
-        parts = open_buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("component"))
-        spread = parts.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
-        rest = parts.join(spread.select("o_bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), F.col("bucket") == F.col("o_bucket"))
-        rest = rest.join(reps.select(F.col("rep").alias("r_rep"), "n_shingles", "signature"), F.col("rep") == F.col("r_rep"))
-        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rest = rest.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "component", "n_shingles", "signature")
-        blocks = rest.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-        more = _confirm(blocks.mapInArrow(_compared(needed, percent / 100, best), "a long, b long"), docs, size, percent)
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        label = components(links)
+    parts = open_buckets.join(label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("component"))
+    spread = parts.groupBy(F.col("bucket").alias("o_bucket")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
+    rest = parts.join(spread.select("o_bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), F.col("bucket") == F.col("o_bucket"))
+    rest = rest.join(reps.select(F.col("rep").alias("r_rep"), "n_shingles", "signature"), F.col("rep") == F.col("r_rep"))
+    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rest = rest.select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "component", "n_shingles", "signature")
+    blocks = rest.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    likely = "bucket long, low int, high int, chunk int, rep long, component long"
+    members = scratch.saved(blocks.mapInArrow(_likely(needed, percent / 100, band_rows(percent / 100)), likely), "dedup-likely")
+    if not members.isEmpty():
+        texts = _texts(docs, members.select("rep"))
+        whole = members.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+        more = scratch.saved(whole.mapInArrow(_linked(size, percent), "a long, b long").distinct(), "dedup-links")
+        label = components(links.union(more))
 
     labelled = classes.join(label, F.col("rep") == F.col("node"), "left").select(*[F.col(c).alias(f"c_{c}") for c in key], F.coalesce("label", "rep").alias("found"))
     joined = signed.join(labelled, [F.col(c) == F.col(f"c_{c}") for c in key], "left")
