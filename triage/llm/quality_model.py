@@ -68,7 +68,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit vectors of all buckets, centred (BUCKETS x DIMS, a fixed size)."""
+    """Unit vectors of all buckets, centred, with their squares beside them (BUCKETS x 2 DIMS, a fixed size)."""
     columns = ["met", *(f"v{k}" for k in range(DIMS))]
     schema = ", ".join(f"{c} long" for c in ["bucket", *columns])
     found = docs.select("text").mapInArrow(_contexts, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
@@ -79,35 +79,41 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         raw = np.stack([found[f"v{k}"].to_numpy() for k in range(DIMS)], axis=1) / met[:, None]
         raw -= (raw * met[:, None]).sum(axis=0) / met.sum()
         vectors[at] = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-    return vectors.astype(np.float32)
+    return np.concatenate([vectors, vectors**2], axis=1).astype(np.float32)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the rows first[k] to first[k + 1]."""
-    if not len(values):
-        return np.zeros((len(first) - 1, *values.shape[1:]))
-    full = np.diff(first) > 0
-    out = np.zeros((len(first) - 1, *values.shape[1:]))
-    out[full] = np.add.reduceat(values, first[:-1][full], axis=0)
+    """Sums of the values first[k] to first[k + 1]."""
+    out, full = np.zeros(len(first) - 1, np.int64), np.diff(first) > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, first[:-1][full], dtype=np.int64)
     return out
 
 
 def document_features(words: Words, vectors: np.ndarray) -> np.ndarray:
-    """A row for each text: mean and spread of its word vectors, and shares."""
-    first, n = words.first, np.maximum(np.diff(words.first), 1)[:, None]
+    """A row for each text: mean and spread of its word vectors, and shares; ``vectors`` holds them and their squares."""
+    first, texts = words.first, len(words.first) - 1
+    n = np.maximum(np.diff(first), 1)
     bucket = _buckets(words.hashes)
-    own = vectors[bucket]
-    mean = _sums(own, first) / n
-    spread = np.sqrt(np.maximum(_sums(own * own, first) / n - mean**2, 0))
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    text = np.repeat(np.arange(texts), np.diff(first))
     key = np.sort(text * BUCKETS + bucket)
-    distinct = np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] // BUCKETS, minlength=len(first) - 1)
-    again = np.zeros(len(bucket))
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    count, key = np.diff(np.append(at, len(key))).astype(np.float32), key[at]
+    bounds = np.searchsorted(key, np.arange(texts + 1) * BUCKETS)
+    distinct = np.diff(bounds)
+    pooled = np.zeros((texts, 2 * DIMS), np.float32)
+    own = key % BUCKETS
+    for k in np.flatnonzero(distinct):  # one product a text, in the processor's cache
+        a, b = bounds[k], bounds[k + 1]
+        pooled[k] = count[a:b] @ vectors[own[a:b]]
+    pooled /= n[:, None]
+    mean = pooled[:, :DIMS]
+    spread = np.sqrt(np.maximum(pooled[:, DIMS:] - mean**2, 0))
+    again = np.zeros(len(bucket), np.uint8)
     again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (text[1:] == text[:-1])
-    data, size = words.data, np.maximum(np.diff(words.text_starts), 1)
-    kinds = (SYMBOL, UPPER, DIGIT, BREAK, MARK)
-    shares = [_sums(kind[data].astype(np.float64), words.text_starts) / size for kind in kinds]
-    shape = np.stack([np.log1p(np.diff(first)), np.log1p(np.diff(words.text_starts)), size / n[:, 0], distinct / n[:, 0], _sums(again, first) / n[:, 0], *shares], axis=1)
+    size = np.maximum(np.diff(words.text_starts), 1)
+    shares = [_sums(kind[words.data].view(np.uint8), words.text_starts) / size for kind in (SYMBOL, UPPER, DIGIT, BREAK, MARK)]
+    shape = np.stack([np.log1p(np.diff(first)), np.log1p(np.diff(words.text_starts)), size / n, distinct / n, _sums(again, first) / n, *shares], axis=1)
     return np.concatenate([mean, spread, shape], axis=1).astype(np.float32)
 
 
