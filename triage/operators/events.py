@@ -25,7 +25,7 @@ def resolve(events: DataFrame, logs: DataFrame) -> DataFrame:
     ``logs`` needs ``log_path``; its other columns (e.g. analysis results) are
     carried to the matching events.  An absent path prints as ``None``.
     """
-    present = logs.withColumn("_log_found", F.lit(True))
+    present = logs.dropDuplicates(["log_path"]).withColumn("_log_found", F.lit(True))  # an event meets one log
     j = events.join(present, "log_path", "left")
     ok = F.coalesce(F.col("_log_found"), F.lit(False))
     return j.select(
@@ -146,19 +146,26 @@ def alerts(rc: DataFrame, threshold: float = C.CONFIDENCE_GATE) -> DataFrame:
 
 def dedup_events(events: DataFrame, keys: list[str] = EVENT_KEYS) -> DataFrame:
     """D11 (batch): one row per ``(dag_id, task_id, run_id, attempt)`` — the
-    earliest by ``timestamp`` (ties: smallest ``log_path``)."""
+    earliest by ``timestamp`` (ties: smallest ``log_path``, then the other
+    columns; maps are compared by their sorted entries)."""
     others = [c for c in events.columns if c not in keys]
     order = ["timestamp", "log_path"] + [c for c in others if c not in ("timestamp", "log_path")]
-    best = F.min(F.struct(*[F.col(c) for c in order])).alias("_b")
+    maps = {c for c, kind in events.dtypes if kind.startswith("map")}
+    by = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in order]
+    best = F.min_by(F.struct(*[F.col(c) for c in order]), F.struct(*by)).alias("_b")
     return events.groupBy(*keys).agg(best, F.count(F.lit(1)).alias("n_copies")).select(
         *keys, *[F.col(f"_b.{c}").alias(c) for c in order], "n_copies"
     )
 
 
 def dedup_stream(events: DataFrame, keys: list[str] = EVENT_KEYS, delay: str = "1 hour") -> DataFrame:
-    """D11 (stream): duplicates within the watermark delay are dropped; state
-    older than the watermark is evicted."""
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(keys)
+    """D11 (stream): one event for each key, however late.
+
+    No watermark is used, since it would discard late events of new keys as
+    well; the state is one row for each key.  ``delay`` is kept for callers and
+    has no effect.
+    """
+    return events.dropDuplicates(keys)
 
 
 def last_attempt(events: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:

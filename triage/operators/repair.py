@@ -81,14 +81,13 @@ def reconcile(df: DataFrame, pairs: list[tuple[str, str]] | dict[str, str]) -> D
 class SideSize:
     rows: int
     bytes: int
-    bounded: bool  # True when rows <= max_rows (the measure is exact)
+    bounded: bool  # True when rows <= max_rows
 
 
 def measure(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> SideSize:
-    """Row count and JSON-serialized byte size of ``df``, reading at most
-    ``max_rows + 1`` rows per partition pass (one small job)."""
-    probe = df.limit(max_rows + 1)
-    r = probe.agg(
+    """Row count and JSON-serialized byte size of ``df``, by one aggregate that is
+    combined in each task."""
+    r = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))), F.lit(0)).alias("b"),
     ).first()
@@ -107,13 +106,11 @@ def fits_broadcast(df: DataFrame, max_bytes: int = C.BROADCAST_SIZE_BYTES, max_r
 
 def broadcast_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
                    max_bytes: int = C.BROADCAST_SIZE_BYTES) -> DataFrame:
-    """C4: join with ``right`` broadcast.  Refuses a right side whose measured
-    size is over ``max_bytes`` (use :func:`auto_join` for a fallback)."""
+    """C4: join with ``right`` broadcast; a right side whose measured size is over
+    ``max_bytes`` takes the shuffle join, so the job still runs when data grow."""
     if how not in ("inner", "left", "left_semi", "left_anti", "left_outer"):
         raise ValueError(f"broadcast of the right side cannot serve a {how!r} join")
-    if not fits_broadcast(right, max_bytes):
-        raise ValueError("right side exceeds the broadcast limit")
-    return left.join(F.broadcast(right), on, how)
+    return left.join(F.broadcast(right) if fits_broadcast(right, max_bytes) else right, on, how)
 
 
 def auto_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
@@ -179,16 +176,16 @@ def top_keys(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     )
 
 
-def hot_keys(df: DataFrame, key: str, min_share: float = 0.01, k: int = 1000) -> DataFrame:
-    """Keys holding at least ``min_share`` of the rows.  At most ``1/min_share``
-    keys can qualify, so the result is bounded by construction; ``k`` only
-    guards against a misconfigured tiny ``min_share``."""
+def hot_keys(df: DataFrame, key: str, min_share: float = 0.01) -> DataFrame:
+    """All keys holding at least ``min_share`` of the rows; at most ``1/min_share``
+    keys can qualify, so the result is bounded by construction."""
+    if not min_share > 0:
+        raise ValueError("min_share must be above 0")
     kc = key_counts(df, key)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = kc.agg(F.sum("n")).scalar()
     return (
         kc.where(F.col("n") >= total * F.lit(min_share))
         .orderBy(F.col("n").desc(), F.col(key))
-        .limit(k)
         .select(key)
     )
 
@@ -203,7 +200,7 @@ def agg_repartitioned(df: DataFrame, keys, aggs: list[Column], n: int = C.REPART
     """Aggregate with an explicit partitioning.
 
     ``combine`` (default): plain ``groupBy`` — partial aggregation before the one
-    exchange, output in ``n`` partitions.  ``by_key``: ``repartition(n, keys)``
+    exchange, whose number of partitions Spark chooses.  ``by_key``: ``repartition(n, keys)``
     first, so one hash exchange serves the aggregate *and* any later join or
     window on the same keys (raw rows cross the network; use when keys are
     nearly unique).  ``round_robin``: the literal keyless ``repartition(n)``
@@ -211,7 +208,7 @@ def agg_repartitioned(df: DataFrame, keys, aggs: list[Column], n: int = C.REPART
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if mode == "combine":
-        return df.groupBy(*keys).agg(*aggs).repartition(n, *keys) if n else df.groupBy(*keys).agg(*aggs)
+        return df.groupBy(*keys).agg(*aggs)
     if mode == "by_key":
         return df.repartition(n, *keys).groupBy(*keys).agg(*aggs)
     if mode == "round_robin":
@@ -282,8 +279,8 @@ def split_join(left: DataFrame, right: DataFrame, on: str, hot, how: str = "inne
 
     ``hot`` is a list of keys or a one-column DataFrame such as
     :func:`hot_keys`, whose size is bounded by construction; it is read once
-    (at most ``max_hot_keys``, else refused) and applied as a literal ``IN``
-    filter on both sides.  The right side's hot rows are broadcast only when
+    and applied as a literal ``IN`` filter on both sides; with more than
+    ``max_hot_keys`` keys nothing is hot and the shuffle join is taken.  The right side's hot rows are broadcast only when
     their measured size fits.  NULL keys stay on the cold side.  Inner and left
     joins only; every row lands in exactly one of the two parts.
     """
@@ -292,7 +289,7 @@ def split_join(left: DataFrame, right: DataFrame, on: str, hot, how: str = "inne
     if isinstance(hot, DataFrame):
         rows = hot.select(hot.columns[0]).distinct().limit(max_hot_keys + 1).collect()
         if len(rows) > max_hot_keys:
-            raise ValueError("hot-key set exceeds max_hot_keys")
+            return left.join(right, on, how)
         keys = [r[0] for r in rows if r[0] is not None]
     else:
         keys = [k for k in hot if k is not None]
@@ -324,12 +321,11 @@ def run_fact_dim_job(spark, fact_path: str, dim_path: str, out_path: str, on: st
 def apply_plan(fact: DataFrame, dim: DataFrame, on: str, plan: dict) -> DataFrame:
     """Run a fix plan (B2/B3 row as a dict) on a fact–dim pair.
 
-    Order as in the reference's rewrite: rename, repartition, broadcast.
+    The rename comes first.  The repartition belongs to an aggregate after the
+    join (:func:`agg_repartitioned`), so the join input is not shuffled for it.
     """
     if plan.get("rename_old") and plan.get("rename_new"):
         fact = reconcile(fact, [(plan["rename_old"], plan["rename_new"])])
-    if plan.get("repartition"):
-        fact = fact.repartition(int(plan["repartition"]), on)
     if plan.get("broadcast"):
         return auto_join(fact, dim, on)
     return fact.join(dim, on)

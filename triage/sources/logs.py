@@ -15,7 +15,7 @@ only the blocks that hold the last ``max_lines`` lines are kept (SURVEY §4.3):
 
 from __future__ import annotations
 
-import os
+import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,17 +33,35 @@ def _reader(spark: SparkSession, pattern: str):
     )
 
 
-def _relative(file_path, root: str):
-    """``<basename(root)>/<rest>`` for a file under ``root``; the URI otherwise."""
-    abs_root = os.path.abspath(root).rstrip("/")
-    base = os.path.basename(abs_root)
-    pos = F.instr(file_path, abs_root + "/")
-    rest = F.expr(f"substring(file_path, instr(file_path, '{abs_root}/') + {len(abs_root) + 1})")
-    return F.when(pos > 0, F.concat(F.lit(base + "/"), rest)).otherwise(file_path)
+def _qualified(spark: SparkSession, root: str):
+    """The root's Hadoop file system and its full path (any scheme)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(path)
+
+
+def _relative(spark: SparkSession, file_path, root: str):
+    """``<basename(root)>/<rest>`` for a file under ``root``, percent-decoded; the URI otherwise."""
+    _, path = _qualified(spark, root)
+    top = path.toUri().getPath().rstrip("/") + "/"
+    decoded = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    pos = F.instr(decoded, top)
+    return F.when(pos > 0, F.concat(F.lit(f"{path.getName()}/"), F.substring(decoded, pos + len(top), F.length(decoded)))).otherwise(file_path)
+
+
+def _empty_logs(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files of no bytes, which Spark's file scan leaves out: found by the file listing."""
+    fs, path = _qualified(spark, root)
+    found, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0 and fnmatch.fnmatchcase(status.getPath().getName(), pattern):
+            found.append((status.getPath().toUri().toString(), ""))
+    return spark.createDataFrame(found, "file_path string, log_text string")
 
 
 def _with_names(df: DataFrame, root: str) -> DataFrame:
-    df = df.withColumn("log_path", _relative(F.col("file_path"), root))
+    df = df.withColumn("log_path", _relative(df.sparkSession, F.col("file_path"), root))
     return df.withColumn("task_id", F.regexp_extract("log_path", r"([^/]+)/[^/]+$", 1))
 
 
@@ -68,7 +86,7 @@ def read_logs(
         )
     )
     big = _big_file_tails(spark, root, pattern, max_lines, big_file_bytes)
-    out = whole.unionByName(big)
+    out = whole.unionByName(big).unionByName(_empty_logs(spark, root, pattern))
     return _with_names(out, root).select("file_path", "log_path", "task_id", "log_text")
 
 

@@ -1,7 +1,7 @@
 """D10/D11 — streaming triage: failure events → logs → root causes.
 
 Events arrive as JSON files (Kafka works the same through ``readStream``).
-Duplicates within the watermark are dropped in the stream (D11).  Each
+Duplicates are dropped in the stream (D11).  Each
 micro-batch resolves its events against the log table with a left join
 (``resolve``), analyses the resolved logs and writes the batch's records under
 ``epoch=<id>`` with overwrite, so a replayed epoch replaces its own output
@@ -26,6 +26,11 @@ from ..sources.events import EVENT_SCHEMA, event_stream
 EVENT_COLUMNS = [f.name for f in EVENT_SCHEMA.fields if f.name != "_corrupt_record"]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def process_batch(
     spark: SparkSession,
     events: DataFrame,
@@ -37,12 +42,10 @@ def process_batch(
     """One micro-batch: resolve, analyse, write records and the retry set."""
     retry_prev = os.path.join(out, "retry", f"epoch={epoch_id - 1}")
     batch = events.select(*EVENT_COLUMNS)
-    try:
-        prev = spark.read.schema(batch.schema).parquet(retry_prev)
-        batch = batch.unionByName(prev)
-    except Exception:  # noqa: BLE001 - no retry set from the previous epoch
-        pass
-    resolved = resolve(batch, logs.select("log_path", "log_text"))
+    if _exists(spark, retry_prev):  # any error in reading it fails the batch
+        batch = batch.unionByName(spark.read.schema(batch.schema).parquet(retry_prev))
+    wanted = batch.select("log_path").distinct()
+    resolved = resolve(batch, logs.select("log_path", "log_text").join(wanted, "log_path", "left_semi"))
     found = resolved.where("ok")
     rc = analyze(found, cfg=cfg, keep=EVENT_KEYS)
     rc.write.mode("overwrite").parquet(os.path.join(out, "root_causes", f"epoch={epoch_id}"))
