@@ -47,11 +47,18 @@ TASK_END = T.StructType(
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Finished tasks, flattened; ``app_id`` is the event-log file name."""
-    raw = spark.read.schema(TASK_END).json(path).where(F.col("Event") == "SparkListenerTaskEnd")
+    """Finished tasks, flattened, of single-file and rolling event logs below ``path``.
+
+    ``app_id`` comes from the folder ``eventlog_v2_<id>`` or the file's name,
+    without attempt, codec and ``.inprogress``.
+    """
+    raw = spark.read.schema(TASK_END).option("recursiveFileLookup", "true").json(path).where(F.col("Event") == "SparkListenerTaskEnd")
     m = F.col("Task Metrics")
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"(\.(zstd|zst|lz4|lzf|snappy))?(\.inprogress)?$", "")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"eventlog_v2_([^/]+)/[^/]+$", 1)
+    app_id = F.regexp_replace(F.when(folder != "", folder).otherwise(name), r"^(application_\d+_\d+)_\d+$", "$1")
     return raw.select(
-        F.col("_metadata.file_name").alias("app_id"),
+        app_id.alias("app_id"),
         F.col("Stage ID").alias("stage_id"),
         F.col("Stage Attempt ID").alias("stage_attempt"),
         F.col("Task Info.Task ID").alias("task_id"),
@@ -85,8 +92,8 @@ def task_failures(tasks: DataFrame) -> DataFrame:
 
 
 def stragglers(tasks: DataFrame, factor: float = 2.0) -> DataFrame:
-    """Tasks slower than ``factor`` × their stage's (approximate) median."""
-    med = tasks.groupBy(*STAGE).agg(F.percentile_approx("duration_ms", 0.5).alias("median_ms"))
+    """Tasks slower than ``factor`` × their stage's exact median."""
+    med = tasks.groupBy(*STAGE).agg(F.percentile("duration_ms", 0.5).alias("median_ms"))
     return tasks.join(med, STAGE).where(F.col("duration_ms") > F.col("median_ms") * factor)
 
 
@@ -139,10 +146,10 @@ def confirm(rc: DataFrame, tasks: DataFrame, skew_factor: float = 1.5) -> DataFr
     sig = app_signals(tasks, skew_factor)
     j = rc.join(sig, "app_id", "left")
     et = F.col("classification.error_type")
+    blown = F.exists("suggested_action_types", lambda a: a.isin("optimize_join", "broadcast_or_repartition")) & F.col("shuffle_blowup")
     confirmed = (
-        F.when(et == "Skew", F.col("skewed"))
-        .when(et.isin("OOM", "GC"), (F.col("oom_tasks") > 0) | (F.col("spilled") > 0))
-        .otherwise(F.exists("suggested_action_types", lambda a: a.isin("optimize_join", "broadcast_or_repartition"))
-                   & F.col("shuffle_blowup"))
+        F.when(et == "Skew", F.col("skewed") | blown)
+        .when(et.isin("OOM", "GC"), (F.col("oom_tasks") > 0) | (F.col("spilled") > 0) | blown)
+        .otherwise(blown)
     )
     return j.withColumn("confirmed", F.coalesce(confirmed, F.lit(False)))

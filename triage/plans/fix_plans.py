@@ -153,7 +153,7 @@ def match_rules(rc: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         )
         return rc.select("log_path", F.explode(hits).alias("rule"))
     pairs = rules.select("rule", F.explode("trigger_actions").alias("action")).distinct()
-    n = pairs.limit(RULE_BROADCAST_MAX_ROWS + 1).count()
+    n = pairs.count()
     side = F.broadcast(pairs) if n <= RULE_BROADCAST_MAX_ROWS else pairs
     acts = rc.select("log_path", F.explode(norm).alias("action"))
     return acts.join(side, "action").select("log_path", "rule").dropDuplicates(["log_path", "rule"])
