@@ -23,6 +23,17 @@ def test_empty_odd_named_and_uri_logs(spark, tmp_path):
         assert {(r.log_path, r.task_id, r.log_text) for r in read_logs(spark, path).collect()} == want
 
 
+def test_strict_signatures(spark):
+    from triage.config import SIGNATURES
+    from triage.functions.text import ci
+
+    def met(name, text):
+        return spark.range(1).select(F.lit(text).rlike(ci(SIGNATURES[name], True))).first()[0]
+
+    assert met("SchemaMismatch", "SchemaMismatchError: x") and met("AuthError", "AuthenticationException") and met("OOM", "an OOM here")
+    assert not met("OOM", "ZOOMED") and not met("AuthError", "the author")
+
+
 def test_hot_keys_are_all_returned(spark):
     assert R.hot_keys(spark.range(4000).select((F.col("id") % 2000).alias("k")), "k", min_share=0.0004).count() == 2000
     with pytest.raises(ValueError):

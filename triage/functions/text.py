@@ -19,10 +19,17 @@ LINE_BREAKS = r"\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
+#: Short alternatives that also occur inside other words.
+SHORT_WORDS = ("OOM", "Auth", "403")
+
+
 def ci(pattern: str, strict: bool = False) -> str:
-    """Case-insensitive, Unicode-aware Java form of a Python ``re.I`` pattern."""
+    """Case-insensitive, Unicode-aware Java form of a Python ``re.I`` pattern.
+
+    ``strict`` asks for whole words of the short alternatives only.
+    """
     if strict:
-        pattern = r"\b(?:" + pattern + r")\b"
+        pattern = "|".join(rf"\b{p}\b" if p in SHORT_WORDS else p for p in pattern.split("|"))
     return "(?iU)" + pattern
 
 

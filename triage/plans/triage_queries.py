@@ -14,11 +14,10 @@ from ..functions.text import line_count, tail_lines
 from ..operators.classify import classify, with_excerpt, with_tail
 from ..operators.rootcause import KINDS, analyze, flatten_record, shuffle_bytes
 from ..sources.synth import synth_logs as _synth_logs
-from ..sources.tables import spread
 
 
 def synth_logs(spark, sf_dir):
-    return spread(_synth_logs(spark, sf_dir), "event_id")
+    return _synth_logs(spark, sf_dir)
 
 RCA_COLUMNS = {
     "SchemaMismatch": ["missing_columns", "extra_columns"],

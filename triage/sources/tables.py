@@ -19,17 +19,3 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Plain parquet scan; Catalyst pushes filters and prunes columns into it."""
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread rows over the cluster's cores when a scan yields fewer partitions
-    than that (a small file with few row groups).  Large inputs already come in
-    thousands of byte-balanced splits and pass through unchanged.
-
-    With ``key`` the repartition hashes a unique key, which is deterministic on
-    task retry without the extra sort a round-robin repartition needs.
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
-        return df
-    return df.repartition(parallelism, key) if key else df.repartition(parallelism)
