@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import py_strip
 
+RULE_LITERAL_MAX_ROWS = 1_000
 RULE_BROADCAST_MAX_ROWS = 100_000
 
 
@@ -137,7 +138,8 @@ def match_rules(rc: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``log_path, rule`` for every rule one of whose triggers the record suggests.
 
     Without a rule table the configured rules are literals and the match is a
-    projection.  A rule table is broadcast when its size is within
+    projection.  A rule table of up to ``RULE_LITERAL_MAX_ROWS`` pairs becomes a
+    literal map; a larger one is broadcast when its size is within
     ``RULE_BROADCAST_MAX_ROWS`` and shuffle-joined otherwise.
     """
     norm = normalize_actions(F.coalesce(F.col("suggested_action_types"), F.array().cast("array<string>")))
@@ -154,6 +156,13 @@ def match_rules(rc: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         return rc.select("log_path", F.explode(hits).alias("rule"))
     pairs = rules.select("rule", F.explode("trigger_actions").alias("action")).distinct()
     n = pairs.count()
+    if 0 < n <= RULE_LITERAL_MAX_ROWS:  # a literal map: no join and no shuffle
+        by_action: dict[str, list[str]] = {}
+        for r in pairs.orderBy("action", "rule").collect():
+            by_action.setdefault(r["action"], []).append(r["rule"])
+        rules_of = F.create_map(*[x for a, names in by_action.items() for x in (F.lit(a), F.array(*[F.lit(k) for k in names]))])
+        hits = F.array_distinct(F.flatten(F.transform(norm, lambda a: F.coalesce(F.try_element_at(rules_of, a), F.array().cast("array<string>")))))
+        return rc.select("log_path", F.explode(hits).alias("rule"))
     side = F.broadcast(pairs) if n <= RULE_BROADCAST_MAX_ROWS else pairs
     acts = rc.select("log_path", F.explode(norm).alias("action"))
     return acts.join(side, "action").select("log_path", "rule").dropDuplicates(["log_path", "rule"])
