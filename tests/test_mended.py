@@ -69,3 +69,19 @@ def test_unreadable_retry_set_fails_the_batch(spark, tmp_path):
     with pytest.raises(Exception):
         process_batch(spark, events, logs, str(tmp_path), 5)
     process_batch(spark, events, logs, os.path.join(str(tmp_path), "other"), 5)
+
+
+def test_equal_rows_spread_over_all_salts(spark):
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.lit(2).alias("v"), "id")
+    assert rows.select(R.salt_of(rows, 8, ["id"]).alias("s")).distinct().count() == 8
+    got = R.salted_agg(rows, "k", [("sum", "v", "total"), ("count", "*", "n")], salts=8, salt_by=["id"]).collect()
+    assert [tuple(r) for r in got] == [(1, 8000, 4000)]
+
+
+def test_unigram_generation_goes_on(spark):
+    from triage.operators import ngram as N
+
+    counts = spark.createDataFrame([("", "a", 3), ("", "b", 2)], "context string, token string, n long")
+    prompts = spark.createDataFrame([(1, "x y")], "prompt_id long, text string")
+    row = N.generate_greedy(prompts, counts, 4, n=1).first()
+    assert row["n_generated"] == 4 and row["generated"].split(N.SEP) == ["a"] * 4

@@ -122,7 +122,7 @@ def best_successors(counts: DataFrame) -> DataFrame:
     )
 
 
-def _table(df: DataFrame) -> DataFrame:
+def _table_path(df: DataFrame) -> str:
     """Write a successor table once as parquet in the shared checkpoint folder
     and read it back: the corpus is counted once, and every generation step
     scans a columnar file instead of recomputing (or deserialising) rows."""
@@ -131,7 +131,16 @@ def _table(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/triage-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def _table(df: DataFrame) -> DataFrame:
+    return df.sparkSession.read.parquet(_table_path(df))
+
+
+def _remove(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _start_state(prompts: DataFrame, n: int, key: str, text: str) -> DataFrame:
@@ -152,14 +161,16 @@ def _small(prompts: DataFrame) -> bool:
     return fits_broadcast(prompts, max_rows=1_000_000)
 
 
-def _generate(state, table, steps, key, small, condition):
+def _generate(state, table, steps, key, small, condition, n):
     """Shared loop.  Each step finds at most one successor per live prompt
     (``hits``: ``key, next``) and appends it; a prompt without one stops.
 
     ``small``: the state (one row per prompt, measured once) is the broadcast
     build side and the successor table is streamed past it — no shuffle of the
-    large side.  Otherwise both joins are shuffle joins.
+    large side.  Otherwise both joins are shuffle joins.  The loop ends early when
+    no prompt is alive; a step's state is deleted when the next is written.
     """
+    spark, written = state.sparkSession, None
     for step in range(steps):
         live = state.where("alive").select(key, F.array_join("ctx_tokens", SEP).alias("context"))
         probe = F.broadcast(live) if small else live
@@ -172,7 +183,7 @@ def _generate(state, table, steps, key, small, condition):
         nxt = F.col("next")
         state = j.select(
             key,
-            F.when(nxt.isNotNull(), F.concat(F.slice("ctx_tokens", 2, 1_000_000), F.array(nxt))).otherwise(
+            F.when(nxt.isNotNull(), F.slice(F.concat("ctx_tokens", F.array(nxt)), 2, n - 1)).otherwise(
                 F.col("ctx_tokens")
             ).alias("ctx_tokens"),
             F.when(nxt.isNotNull(), F.concat("generated", F.array(nxt))).otherwise(F.col("generated")).alias(
@@ -184,7 +195,12 @@ def _generate(state, table, steps, key, small, condition):
         # step (one small row per prompt); otherwise the plan would double per
         # step.  A written table, not checkpoint(): a checkpoint carries the
         # estimated statistics forward, and the join estimates compound per step.
-        state = _table(state)
+        path = _table_path(state)
+        if written:
+            _remove(spark, written)
+        written, state = path, spark.read.schema(state.schema).parquet(path)
+        if state.where("alive").isEmpty():
+            break
     return state.select(
         key,
         F.array_join("generated", SEP).alias("generated"),
@@ -204,7 +220,7 @@ def generate_greedy(
     at the first context the model has not seen."""
     best = _table(best_successors(counts).withColumnRenamed("token", "next"))
     state = _start_state(prompts, n, key, text)
-    return _generate(state, best, steps, key, _small(prompts), lambda step: None)
+    return _generate(state, best, steps, key, _small(prompts), lambda step: None, n)
 
 
 def successor_cdf(counts: DataFrame) -> DataFrame:
@@ -238,7 +254,7 @@ def generate_random(
         draw = F.pmod(F.xxhash64(F.lit(seed), F.col(f"s.{key}"), F.lit(step)), F.col("t.total"))
         return (F.col("t.lo") <= draw) & (draw < F.col("t.hi"))
 
-    return _generate(state, cdf, steps, key, _small(prompts), condition)
+    return _generate(state, cdf, steps, key, _small(prompts), condition, n)
 
 
 def compare_prompts(pairs: DataFrame, model: DataFrame, n: int = 3) -> DataFrame:

@@ -216,9 +216,10 @@ def agg_repartitioned(df: DataFrame, keys, aggs: list[Column], n: int = C.REPART
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def salt_of(df: DataFrame, salts: int) -> Column:
-    """Deterministic salt in ``[0, salts)`` from the whole row's content."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+def salt_of(df: DataFrame, salts: int, by: list[str] | None = None) -> Column:
+    """Deterministic salt in ``[0, salts)`` from columns that are unique together,
+    or from the whole row, where identical rows share a salt."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in by or df.columns]), F.lit(salts))
 
 
 _PARTIAL = {
@@ -229,16 +230,18 @@ _PARTIAL = {
 }
 
 
-def salted_agg(df: DataFrame, key, aggs: list[tuple[str, str, str]], salts: int = 16) -> DataFrame:
+def salted_agg(df: DataFrame, key, aggs: list[tuple[str, str, str]], salts: int = 16, salt_by: list[str] | None = None) -> DataFrame:
     """Two-phase aggregate for hot keys.
 
     ``aggs`` are ``(function, column, alias)`` with function in count, sum, min,
     max, avg (avg is carried as sum and count).  Phase 1 groups by
     ``(key, salt)``, phase 2 by ``key``; a hot key's rows are spread over
-    ``salts`` reducers in phase 1.
+    ``salts`` reducers in phase 1.  Only the columns used are read; ``salt_by``
+    names columns that are unique together, so that equal rows part as well.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    s = df.withColumn("_salt", salt_of(df, salts))
+    used = dict.fromkeys([*keys, *(c for _, c, _ in aggs if c != "*"), *(salt_by or [])])
+    s = df.select(*used).withColumn("_salt", salt_of(df.select(*used), salts, salt_by))
     phase1, phase2 = [], []
     for fn, col, alias in aggs:
         if fn == "avg":
@@ -259,15 +262,15 @@ def salted_agg(df: DataFrame, key, aggs: list[tuple[str, str, str]], salts: int
 # ---------------------------------------------------------------------------
 
 
-def salted_join(left: DataFrame, right: DataFrame, on, salts: int = 8, how: str = "inner") -> DataFrame:
-    """The left side gets a content salt, the right side is replicated once
+def salted_join(left: DataFrame, right: DataFrame, on, salts: int = 8, how: str = "inner", salt_by: list[str] | None = None) -> DataFrame:
+    """The left side gets a salt (of ``salt_by``, or of its content), the right side is replicated once
     per salt, and the pair joins on ``(keys, salt)``.  A hot key's left rows are
     spread over ``salts`` partitions.  Right/full outer joins are refused
     (unmatched right rows would repeat once per salt)."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted join cannot produce a {how!r} join")
     keys = [on] if isinstance(on, str) else list(on)
-    l = left.withColumn("_salt", salt_of(left, salts))
+    l = left.withColumn("_salt", salt_of(left, salts, salt_by))
     r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, keys + ["_salt"], how).drop("_salt")
 
