@@ -76,6 +76,7 @@ def q_salted_agg(spark, sf_dir):
             ("avg", "l_discount", "avg_disc"),
         ],
         salts=16,
+        salt_by=["l_orderkey", "l_linenumber"],
     )
     return out.select(
         "sk", "n", "sum_qty", F.round("sum_price", 2).alias("sum_price"), "min_price", "max_price",
@@ -89,7 +90,7 @@ def _supplier_dim(spark, sf_dir):
 
 def q_salted_join(spark, sf_dir):
     li = hot_lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "sk")
-    return R.salted_join(li, _supplier_dim(spark, sf_dir), "sk", salts=8)
+    return R.salted_join(li, _supplier_dim(spark, sf_dir), "sk", salts=8, salt_by=["l_orderkey", "l_linenumber"])
 
 
 def q_split_join(spark, sf_dir):
