@@ -6,21 +6,27 @@
 * Probabilities divide by per-context totals obtained by a second aggregate
   and an equi-join (AQE splits a hot context), not by a window over a whole
   context.
-* Generation iterates joins of a small state table against a successor table
-  written once as parquet in the shared checkpoint folder; with a
-  measured-small prompt table the state is the broadcast side and the large
-  table is streamed without a shuffle.  The small state is rewritten every
-  step as a table in the same folder to cut lineage and reset statistics.
+* Generation joins the live prompts, step by step, with a successor table written
+  once in the shared checkpoint folder, in buckets by context: a step reads only the
+  buckets in which live prompts are.  Live prompts measured as small are broadcast.  Each
+  step is written as a table there, which cuts lineage and resets statistics
+  (``checkpoint()`` would carry the estimated ones forward, compounding).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
 SEP = " "  # tokens are split on a single space, so they never contain it
+BUCKETS = 64  # parts of a successor table; raise it with the table (about 1 GB each)
+SMALL_ROWS = 1_000_000  # live prompts up to this number and size are broadcast
+SMALL_BYTES = 64 << 20
 
 
 def read_corpus(spark: SparkSession, path: str, col: str = "text", fmt: str = "parquet") -> DataFrame:
@@ -122,89 +128,77 @@ def best_successors(counts: DataFrame) -> DataFrame:
     )
 
 
-def _table_path(df: DataFrame) -> str:
-    """Write a successor table once as parquet in the shared checkpoint folder
-    and read it back: the corpus is counted once, and every generation step
-    scans a columnar file instead of recomputing (or deserialising) rows."""
-    import uuid
-
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/triage-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
+def _store(spark: SparkSession) -> str:
+    """A new folder of one generation's tables in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/triage-tables/{uuid.uuid4().hex}"
 
-def _table(df: DataFrame) -> DataFrame:
-    return df.sparkSession.read.parquet(_table_path(df))
 
-
-def _remove(spark, path: str) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _start_state(prompts: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    toks = tokenize(F.col(text))
-    size = F.size(toks)
-    ctx = F.when(size >= n - 1, F.slice(toks, size - (n - 1) + 1, n - 1))
-    return prompts.select(
-        F.col(key).alias(key),
-        ctx.alias("ctx_tokens"),
-        F.array().cast("array<string>").alias("generated"),
-        ctx.isNotNull().alias("alive"),
-    )
-
+def _bucket(context: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int")
 
-def _small(prompts: DataFrame) -> bool:
-    from .repair import fits_broadcast
 
-    return fits_broadcast(prompts, max_rows=1_000_000)
+def _bucketed(df: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``df`` written once, one folder per hash bucket of its contexts, and read back:
+    a step reads the buckets its live prompts are in and no others.  ``rebalance``
+    splits a large bucket over several tasks and merges small ones."""
+    rows = df.withColumn("bucket", _bucket("context", buckets))
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def _generate(state, table, steps, key, small, condition, n):
-    """Shared loop.  Each step finds at most one successor per live prompt
-    (``hits``: ``key, next``) and appends it; a prompt without one stops.
+def _generate(prompts, steps, n, key, text, buckets, successors, store):
+    """Shared loop: each step looks up one successor per live prompt.
 
-    ``small``: the state (one row per prompt, measured once) is the broadcast
-    build side and the successor table is streamed past it — no shuffle of the
-    large side.  Otherwise both joins are shuffle joins.  The loop ends early when
-    no prompt is alive; a step's state is deleted when the next is written.
+    ``successors(live, wanted, spread, step)`` returns ``key, ctx_tokens, next``
+    for the prompts that go on; ``wanted`` are the buckets of their contexts (at most
+    ``buckets`` numbers) and ``spread`` broadcasts a probe whose size was measured as small.
+    A step writes the prompts that went on, so a prompt without a successor is
+    absent from the next one, and the loop ends with the first empty step.  The
+    written steps are the log from which the texts are put together at the end.
     """
-    spark, written = state.sparkSession, None
+    spark = prompts.sparkSession
+    toks = tokenize(F.col(text))
+    size = F.size(toks)
+    keyed = prompts.select(F.col(key), F.when(size >= n - 1, F.slice(toks, size - (n - 1) + 1, n - 1)).alias("ctx_tokens"))
+    live = keyed.where(F.col("ctx_tokens").isNotNull())
+    log_schema = T.StructType(
+        [
+            prompts.schema[key],
+            T.StructField("ctx_tokens", T.ArrayType(T.StringType())),
+            T.StructField("next", T.StringType()),
+        ]
+    )
     for step in range(steps):
-        live = state.where("alive").select(key, F.array_join("ctx_tokens", SEP).alias("context"))
-        probe = F.broadcast(live) if small else live
-        cond = F.col("t.context") == F.col("s.context")
-        extra = condition(step)
-        if extra is not None:
-            cond = cond & extra
-        hits = table.alias("t").join(probe.alias("s"), cond).select(F.col(f"s.{key}").alias(key), F.col("t.next").alias("next"))
-        j = state.join(F.broadcast(hits) if small else hits, key, "left")
-        nxt = F.col("next")
-        state = j.select(
-            key,
-            F.when(nxt.isNotNull(), F.slice(F.concat("ctx_tokens", F.array(nxt)), 2, n - 1)).otherwise(
-                F.col("ctx_tokens")
-            ).alias("ctx_tokens"),
-            F.when(nxt.isNotNull(), F.concat("generated", F.array(nxt))).otherwise(F.col("generated")).alias(
-                "generated"
-            ),
-            (F.col("alive") & nxt.isNotNull()).alias("alive"),
-        )
-        # The state feeds both sides of the next step, so it is materialised every
-        # step (one small row per prompt); otherwise the plan would double per
-        # step.  A written table, not checkpoint(): a checkpoint carries the
-        # estimated statistics forward, and the join estimates compound per step.
-        path = _table_path(state)
-        if written:
-            _remove(spark, written)
-        written, state = path, spark.read.schema(state.schema).parquet(path)
-        if state.where("alive").isEmpty():
+        live = live.select(key, "ctx_tokens", F.array_join("ctx_tokens", SEP).alias("context"))
+        live = live.withColumn("bucket", _bucket("context", buckets))
+        seen = live.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(F.octet_length("context")), F.lit(0)).alias("bytes"),
+            F.collect_set("bucket").alias("wanted"),
+        ).first()
+        if seen.rows == 0:
             break
-    return state.select(
+        small = seen.rows <= SMALL_ROWS and seen.bytes <= SMALL_BYTES
+        hits = successors(live, seen.wanted, F.broadcast if small else (lambda df: df), step)
+        moved = F.slice(F.concat("ctx_tokens", F.array("next")), 2, n - 1) if n > 1 else F.col("ctx_tokens")
+        hits.select(key, moved.alias("ctx_tokens"), "next").write.mode("overwrite").parquet(f"{store}/log/step={step}")
+        live = spark.read.schema(log_schema).parquet(f"{store}/log/step={step}").select(key, "ctx_tokens")
+    else:
+        step = steps
+    if step == 0:
+        return prompts.select(key, F.lit("").alias("generated"), F.lit(0).cast("bigint").alias("n_generated"))
+    log = spark.read.schema(T.StructType([*log_schema.fields, T.StructField("step", T.IntegerType())])).parquet(f"{store}/log")
+    texts = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", "next"))).alias("_out"))
+    return prompts.select(key).join(texts, key, "left").select(
         key,
-        F.array_join("generated", SEP).alias("generated"),
-        F.size("generated").cast("bigint").alias("n_generated"),
+        F.coalesce(F.array_join("_out.next", SEP), F.lit("")).alias("generated"),
+        F.coalesce(F.size("_out"), F.lit(0)).cast("bigint").alias("n_generated"),
     )
 
 
@@ -215,21 +209,53 @@ def generate_greedy(
     n: int = 3,
     key: str = "prompt_id",
     text: str = "text",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """append the most probable next token ``steps`` times; a prompt stops
-    at the first context the model has not seen."""
-    best = _table(best_successors(counts).withColumnRenamed("token", "next"))
-    state = _start_state(prompts, n, key, text)
-    return _generate(state, best, steps, key, _small(prompts), lambda step: None, n)
+    at the first context the model has not seen.
 
+    ``key`` is unique in ``prompts``.  ``buckets`` is the number of parts of the
+    successor table; a step reads those that hold a live prompt's context."""
+    store = _store(prompts.sparkSession)
+    best = _bucketed(best_successors(counts).withColumnRenamed("token", "next"), f"{store}/best", buckets)
 
-def successor_cdf(counts: DataFrame) -> DataFrame:
-    """Per context: successors in token order with integer cumulative counts
-    ``[lo, hi)`` and the context total; exact, no floating-point drift."""
-    w = Window.partitionBy("context").orderBy("token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = counts.withColumn("hi", F.sum("n").over(w))
-    totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
-    return c.join(totals, "context").select("context", "token", (F.col("hi") - F.col("n")).alias("lo"), "hi", "total")
+    def successors(live, wanted, spread, step):
+        return best.where(F.col("bucket").isin(wanted)).join(spread(live), ["bucket", "context"])
+
+    out = _generate(prompts, steps, n, key, text, buckets, successors, store)
+    _remove(prompts.sparkSession, f"{store}/best")
+    return out
+
+
+def _chunk(token: str) -> Column:
+    """0 to 255 by the token's hash; a context's successors are ordered by ``(chunk, token)``."""
+    return F.conv(F.substring(F.md5(token), 1, 2), 16, 10).cast("int")
+
+
+def successor_ranges(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Integer ranges ``[lo, hi)`` of the draws, by chunk and by token in its chunk.
+
+    A context's successors, ordered by ``(chunk, token)``, share ``[0, total)`` by
+    their counts, exactly and without floating-point drift.  The first frame has a
+    row per ``context, chunk`` (``lo, hi, total``; at most 256 a context), the
+    second a row per token with its range within the chunk.  So a window holds a chunk's tokens or
+    a context's chunks, never all successors of a frequent context.
+    """
+    rows = counts.withColumn("chunk", _chunk("token"))
+    per_chunk = rows.groupBy("context", "chunk").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("context").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("context")
+    chunks = per_chunk.withColumns({"hi": F.sum("n").over(upto), "total": F.sum("n").over(whole)})
+    inside = Window.partitionBy("context", "chunk").orderBy("token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tokens = rows.withColumn("hi", F.sum("n").over(inside))
+    lo = (F.col("hi") - F.col("n")).alias("lo")
+    return chunks.select("context", "chunk", lo, "hi", "total"), tokens.select("context", "chunk", "token", lo, "hi")
+
+
+def draw(seed: int, key: Column, step: int) -> Column:
+    """A number in ``[0, 2^60)`` from the leading 15 hex digits of the MD5 of ``seed|key|step``."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), F.lit(str(step))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def generate_random(
@@ -240,21 +266,32 @@ def generate_random(
     n: int = 3,
     key: str = "prompt_id",
     text: str = "text",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """F8: sample each next token from the model's distribution.
 
-    The draw for (seed, prompt, step) is ``xxhash64`` reduced modulo the
-    context total — deterministic, so reruns and retried tasks agree — and the
-    successor whose cumulative-count interval ``[lo, hi)`` holds it is taken.
+    :func:`draw` modulo the context's total falls into the range of one successor
+    (:func:`successor_ranges`); it depends on seed, prompt and step alone, so
+    reruns and retried tasks agree.  A step finds the chunk, then the token in it.
     """
-    cdf = _table(successor_cdf(counts).withColumnRenamed("token", "next"))
-    state = _start_state(prompts, n, key, text)
-
-    def condition(step: int) -> Column:
-        draw = F.pmod(F.xxhash64(F.lit(seed), F.col(f"s.{key}"), F.lit(step)), F.col("t.total"))
-        return (F.col("t.lo") <= draw) & (draw < F.col("t.hi"))
-
-    return _generate(state, cdf, steps, key, _small(prompts), condition, n)
+    spark, store = prompts.sparkSession, _store(prompts.sparkSession)
+    by_chunk, by_token = successor_ranges(counts)
+    chunks = _bucketed(by_chunk, f"{store}/chunks", buckets)
+    tokens = _bucketed(by_token.withColumnRenamed("token", "next"), f"{store}/tokens", buckets)
+
+    def successors(live, wanted, spread, step):
+        part, whole = F.col("bucket").isin(wanted), chunks.withColumnsRenamed({"lo": "c_lo", "hi": "c_hi"})
+        at = F.pmod(draw(seed, F.col(key), step), F.col("total"))
+        found = whole.where(part).join(spread(live), ["bucket", "context"]).withColumn("_at", at)
+        found = found.where((F.col("c_lo") <= F.col("_at")) & (F.col("_at") < F.col("c_hi")))
+        found = found.select(key, "ctx_tokens", "bucket", "context", "chunk", (F.col("_at") - F.col("c_lo")).alias("_at"))
+        hits = tokens.where(part).join(spread(found), ["bucket", "context", "chunk"])
+        return hits.where((F.col("lo") <= F.col("_at")) & (F.col("_at") < F.col("hi")))
+
+    out = _generate(prompts, steps, n, key, text, buckets, successors, store)
+    _remove(spark, f"{store}/chunks")
+    _remove(spark, f"{store}/tokens")
+    return out
 
 
 def compare_prompts(pairs: DataFrame, model: DataFrame, n: int = 3) -> DataFrame:

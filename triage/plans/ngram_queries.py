@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ngram as G
-from ..sources.tables import read_table
+from ..sources.tables import read_table, table_path
 
 N = 3  # trigram model, as in the lab
 TOP_K = 30  # tokens shown per prompt
@@ -15,7 +15,7 @@ SEED = 7
 
 
 def _corpus(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return G.read_corpus(spark, table_path(sf_dir, "documents"))
 
 
 def _prompts(spark, sf_dir):
@@ -28,7 +28,7 @@ def _counts(spark, sf_dir):
 
 def q_corpus_stats(spark, sf_dir):
     toks = G.tokenize(F.col("text"))
-    return _corpus(spark, sf_dir).groupBy("lang").agg(
+    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.size(toks)).cast("bigint").alias("n_tokens"),
         F.sum(F.greatest(F.size(toks) - (N - 1), F.lit(0))).cast("bigint").alias("n_trigrams"),
@@ -151,6 +151,25 @@ gen AS (
   WHERE g.step < {GEN_TOKENS}
 )
 SELECT prompt_id, array_to_string(arg_max(out, step), ' ') AS generated, CAST(max(step) AS BIGINT) AS n_generated
+FROM gen GROUP BY prompt_id""",
+    "random_generation": f"""WITH RECURSIVE {_COUNTS},
+ranges AS MATERIALIZED (
+  SELECT context, token, n, CAST(sum(n) OVER (
+      PARTITION BY context ORDER BY substr(md5(token), 1, 2), token ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi,
+    CAST(sum(n) OVER (PARTITION BY context) AS BIGINT) AS total
+  FROM counts
+),
+gen AS (
+  SELECT prompt_id, 0 AS step, CASE WHEN len(toks) >= 2 THEN toks[len(toks) - 1:len(toks)] END AS ctx,
+    CAST([] AS VARCHAR[]) AS out
+  FROM p
+  UNION ALL
+  SELECT g.prompt_id, g.step + 1, list_append(g.ctx[2:2], r.token), list_append(g.out, r.token)
+  FROM (SELECT *, CAST('0x' || substr(md5('{SEED}|' || prompt_id || '|' || step), 1, 15) AS BIGINT) AS draw FROM gen) g
+  JOIN ranges r ON array_to_string(g.ctx, ' ') = r.context AND g.draw % r.total >= r.hi - r.n AND g.draw % r.total < r.hi
+  WHERE g.step < {GEN_TOKENS}
+)
+SELECT prompt_id, array_to_string(arg_max(out, step), ' ') AS generated, CAST(max(step) AS BIGINT) AS n_generated
 FROM gen GROUP BY prompt_id""",
     "prompt_comparison": f"""WITH {_COUNTS},
 pairs AS (
