@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,43 +152,46 @@ def _bucketed(df: DataFrame, path: str, buckets: int) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def _seen() -> list[Column]:
+    """Number and size of the live prompts, and the buckets of their contexts."""
+    size = F.coalesce(F.sum(F.octet_length("context")), F.lit(0))
+    return [F.count(F.lit(1)).alias("rows"), size.alias("bytes"), F.collect_set("bucket").alias("wanted")]
+
+
+def _placed(live: DataFrame, buckets: int) -> DataFrame:
+    """``live`` with the context and its bucket."""
+    return live.withColumn("context", F.array_join("ctx_tokens", SEP)).withColumn("bucket", _bucket("context", buckets))
+
+
 def _generate(prompts, steps, n, key, text, buckets, successors, store):
     """Shared loop: each step looks up one successor per live prompt.
 
     ``successors(live, wanted, spread, step)`` returns ``key, ctx_tokens, next``
     for the prompts that go on; ``wanted`` are the buckets of their contexts (at most
     ``buckets`` numbers) and ``spread`` broadcasts a probe whose size was measured as small.
-    A step writes the prompts that went on, so a prompt without a successor is
-    absent from the next one, and the loop ends with the first empty step.  The
+    A step writes the prompts that went on, measured by the same job, so a prompt without
+    a successor is absent from the next one, and the loop ends with the first empty step.  The
     written steps are the log from which the texts are put together at the end.
     """
     spark = prompts.sparkSession
     toks = tokenize(F.col(text))
     size = F.size(toks)
     keyed = prompts.select(F.col(key), F.when(size >= n - 1, F.slice(toks, size - (n - 1) + 1, n - 1)).alias("ctx_tokens"))
-    live = keyed.where(F.col("ctx_tokens").isNotNull())
-    log_schema = T.StructType(
-        [
-            prompts.schema[key],
-            T.StructField("ctx_tokens", T.ArrayType(T.StringType())),
-            T.StructField("next", T.StringType()),
-        ]
-    )
+    live = _placed(keyed.where(F.col("ctx_tokens").isNotNull()), buckets)
+    fields = [T.StructField("ctx_tokens", T.ArrayType(T.StringType())), T.StructField("next", T.StringType())]
+    fields += [T.StructField("context", T.StringType()), T.StructField("bucket", T.IntegerType())]
+    log_schema = T.StructType([prompts.schema[key], *fields])
+    seen = live.agg(*_seen()).first().asDict()
     for step in range(steps):
-        live = live.select(key, "ctx_tokens", F.array_join("ctx_tokens", SEP).alias("context"))
-        live = live.withColumn("bucket", _bucket("context", buckets))
-        seen = live.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length("context")), F.lit(0)).alias("bytes"),
-            F.collect_set("bucket").alias("wanted"),
-        ).first()
-        if seen.rows == 0:
+        if seen["rows"] == 0:
             break
-        small = seen.rows <= SMALL_ROWS and seen.bytes <= SMALL_BYTES
-        hits = successors(live, seen.wanted, F.broadcast if small else (lambda df: df), step)
+        small = seen["rows"] <= SMALL_ROWS and seen["bytes"] <= SMALL_BYTES
+        hits = successors(live, seen["wanted"], F.broadcast if small else (lambda df: df), step)
         moved = F.slice(F.concat("ctx_tokens", F.array("next")), 2, n - 1) if n > 1 else F.col("ctx_tokens")
-        hits.select(key, moved.alias("ctx_tokens"), "next").write.mode("overwrite").parquet(f"{store}/log/step={step}")
-        live = spark.read.schema(log_schema).parquet(f"{store}/log/step={step}").select(key, "ctx_tokens")
+        hits, counted = _placed(hits.select(key, moved.alias("ctx_tokens"), "next"), buckets), Observation()
+        hits.observe(counted, *_seen()).write.mode("overwrite").parquet(f"{store}/log/step={step}")
+        seen = counted.get
+        live = spark.read.schema(log_schema).parquet(f"{store}/log/step={step}").drop("next")
     else:
         step = steps
     if step == 0:
