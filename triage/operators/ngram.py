@@ -15,13 +15,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import new_folder
 
 SEP = " "  # tokens are split on a single space, so they never contain it
 BUCKETS = 64  # parts of a successor table; raise it with the table (about 1 GB each)
@@ -128,11 +126,6 @@ def best_successors(counts: DataFrame) -> DataFrame:
     )
 
 
-def _store(spark: SparkSession) -> str:
-    """A new folder of one generation's tables in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/triage-tables/{uuid.uuid4().hex}"
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -219,7 +212,7 @@ def generate_greedy(
 
     ``key`` is unique in ``prompts``.  ``buckets`` is the number of parts of the
     successor table; a step reads those that hold a live prompt's context."""
-    store = _store(prompts.sparkSession)
+    store = new_folder(prompts.sparkSession, "generation")
     best = _bucketed(best_successors(counts).withColumnRenamed("token", "next"), f"{store}/best", buckets)
 
     def successors(live, wanted, spread, step):
@@ -277,7 +270,7 @@ def generate_random(
     (:func:`successor_ranges`); it depends on seed, prompt and step alone, so
     reruns and retried tasks agree.  A step finds the chunk, then the token in it.
     """
-    spark, store = prompts.sparkSession, _store(prompts.sparkSession)
+    spark, store = prompts.sparkSession, new_folder(prompts.sparkSession, "generation")
     by_chunk, by_token = successor_ranges(counts)
     chunks = _bucketed(by_chunk, f"{store}/chunks", buckets)
     tokens = _bucketed(by_token.withColumnRenamed("token", "next"), f"{store}/tokens", buckets)

@@ -234,19 +234,27 @@ def salted_agg(df: DataFrame, key, aggs: list[tuple[str, str, str]], salts: int
     """Two-phase aggregate for hot keys.
 
     ``aggs`` are ``(function, column, alias)`` with function in count, sum, min,
-    max, avg (avg is carried as sum and count).  Phase 1 groups by
+    max, avg (carried as sum and count) and count_distinct (exact, of one column,
+    which then is the salt: the aggregate that map-side combining helps least).  Phase 1 groups by
     ``(key, salt)``, phase 2 by ``key``; a hot key's rows are spread over
     ``salts`` reducers in phase 1.  Only the columns used are read; ``salt_by``
     names columns that are unique together, so that equal rows part as well.
     """
     keys = [key] if isinstance(key, str) else list(key)
     used = dict.fromkeys([*keys, *(c for _, c, _ in aggs if c != "*"), *(salt_by or [])])
-    s = df.select(*used).withColumn("_salt", salt_of(df.select(*used), salts, salt_by))
+    distinct = {c for fn, c, _ in aggs if fn == "count_distinct"}
+    if len(distinct) > 1:
+        raise ValueError(f"one column can be counted distinct, not {sorted(distinct)}")
+    # Equal values share a salt, so the distinct counts of a key's salts add up.
+    s = df.select(*used).withColumn("_salt", salt_of(df.select(*used), salts, list(distinct) or salt_by))
     phase1, phase2 = [], []
     for fn, col, alias in aggs:
         if fn == "avg":
             phase1 += [F.sum(col).alias(f"_{alias}_s"), F.count(col).alias(f"_{alias}_c")]
             phase2.append((F.sum(f"_{alias}_s") / F.sum(f"_{alias}_c")).alias(alias))
+        elif fn == "count_distinct":
+            phase1.append(F.count_distinct(F.col(col)).alias(f"_{alias}"))
+            phase2.append(F.sum(f"_{alias}").alias(alias))
         elif fn in _PARTIAL:
             p, f = _PARTIAL[fn]
             c = F.lit(1) if col == "*" else F.col(col)
@@ -314,21 +322,24 @@ def split_join(left: DataFrame, right: DataFrame, on: str, hot, how: str = "inne
 # ---------------------------------------------------------------------------
 
 
-def run_fact_dim_job(spark, fact_path: str, dim_path: str, out_path: str, on: str, by: str) -> None:
-    """C11: read two parquet inputs, join, count per ``by``, overwrite parquet."""
+def run_fact_dim_job(spark, fact_path: str, dim_path: str, out_path: str, on: str, by: str, dim_on: str | None = None) -> None:
+    """C11: read two parquet inputs, join, count per ``by``, overwrite parquet.
+    ``dim_on`` is the key's name in the dimension where it is another one."""
     fact = spark.read.parquet(fact_path)
-    dim = spark.read.parquet(dim_path)
+    dim = reconcile(spark.read.parquet(dim_path), [(dim_on, on)] if dim_on else [])
     join_count(fact, dim, on, by).write.mode("overwrite").parquet(out_path)
 
 
-def apply_plan(fact: DataFrame, dim: DataFrame, on: str, plan: dict) -> DataFrame:
+def apply_plan(fact: DataFrame, dim: DataFrame, on: str, plan: dict, by=None) -> DataFrame:
     """Run a fix plan (B2/B3 row as a dict) on a fact–dim pair.
 
-    The rename comes first.  The repartition belongs to an aggregate after the
-    join (:func:`agg_repartitioned`), so the join input is not shuffled for it.
+    The rename comes first, then the join.  With ``by`` the joined rows are counted
+    per ``by``; that aggregate takes the plan's repartition, not the join's input.
     """
     if plan.get("rename_old") and plan.get("rename_new"):
         fact = reconcile(fact, [(plan["rename_old"], plan["rename_new"])])
-    if plan.get("broadcast"):
-        return auto_join(fact, dim, on)
-    return fact.join(dim, on)
+    joined = auto_join(fact, dim, on) if plan.get("broadcast") else fact.join(dim, on)
+    if by is None:
+        return joined
+    n = plan.get("repartition")
+    return agg_repartitioned(joined, by, [F.count(F.lit(1)).alias("count")], n, "by_key" if n else "combine")

@@ -57,8 +57,14 @@ def write_summaries(rc: DataFrame, path: str) -> None:
     rc.select("log_path", "classification.*").write.mode("overwrite").json(path)
 
 
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The summaries back, with their fixed schema."""
+    return spark.read.schema(T.StructType([ROOT_CAUSE["log_path"], *CLASSIFICATION.fields])).json(path)
+
+
 def read_root_causes(spark: SparkSession, path: str, fmt: str = "parquet", multiline: bool = False) -> DataFrame:
     """Records back with the fixed schema (JSON documents need ``multiline``)."""
     if fmt == "json":
-        return spark.read.schema(ROOT_CAUSE).option("multiLine", str(multiline).lower()).json(path)
+        back = spark.read.schema(ROOT_CAUSE).option("multiLine", str(multiline).lower()).json(path)
+        return back.select(*ROOT_CAUSE.names)
     return spark.read.format(fmt).load(path).select(*[f.name for f in ROOT_CAUSE.fields])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries, ngram_queries, oracle, repair_queries, runmetric_queries, triage_queries
+from . import event_queries, ngram_queries, oracle, repair_queries, runmetric_queries, store_queries, triage_queries
 
 QUERIES = {}
 QUERIES.update(triage_queries.QUERIES)
@@ -10,6 +10,7 @@ QUERIES.update(repair_queries.QUERIES)
 QUERIES.update(event_queries.QUERIES)
 QUERIES.update(ngram_queries.QUERIES)
 QUERIES.update(runmetric_queries.QUERIES)
+QUERIES.update(store_queries.QUERIES)
 
 ORACLE = {}
 ORACLE.update(oracle.ORACLE)
@@ -17,5 +18,6 @@ ORACLE.update(repair_queries.ORACLE)
 ORACLE.update(event_queries.ORACLE)
 ORACLE.update(ngram_queries.ORACLE)
 ORACLE.update(runmetric_queries.ORACLE)
+ORACLE.update(store_queries.ORACLE)
 
 assert set(ORACLE) <= set(QUERIES), set(ORACLE) - set(QUERIES)

@@ -84,6 +84,12 @@ def q_salted_agg(spark, sf_dir):
     )
 
 
+def q_salted_distinct(spark, sf_dir):
+    """C7 for the aggregate that needs it: exact distinct counts under a hot key."""
+    aggs = [("count", "*", "n"), ("count_distinct", "l_orderkey", "n_orders"), ("max", "l_quantity", "max_qty")]
+    return R.salted_agg(hot_lineitem(spark, sf_dir), "sk", aggs)
+
+
 def _supplier_dim(spark, sf_dir):
     return read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sk"), "s_nationkey")
 
@@ -113,6 +119,7 @@ QUERIES = {
     "join_count": q_join_count,
     "agg_repartitioned": q_agg_repartitioned,
     "salted_agg": q_salted_agg,
+    "salted_distinct": q_salted_distinct,
     "salted_join": q_salted_join,
     "split_join": q_split_join,
     "reconcile": q_reconcile,
@@ -142,6 +149,8 @@ GROUP BY c_nationkey""",
 GROUP BY l_orderkey""",
     "salted_agg": f"""SELECT sk, count(*) AS n, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price,
   min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price, round(avg(l_discount), 6) AS avg_disc
+FROM ({_HOT}) GROUP BY sk""",
+    "salted_distinct": f"""SELECT sk, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, max(l_quantity) AS max_qty
 FROM ({_HOT}) GROUP BY sk""",
     "salted_join": f"""SELECT h.sk, l_orderkey, l_linenumber, s_nationkey
 FROM ({_HOT}) h JOIN supplier ON h.sk = s_suppkey""",

@@ -36,6 +36,13 @@ def read_events(spark: SparkSession, path: str, multiline: bool = False) -> Data
     )
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Events as JSON lines; timestamps keep their microseconds."""
+    digits = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"timestampNTZFormat": digits, "timestampFormat": digits + "XXX"}
+    events.write.mode("overwrite").options(**options).json(path)
+
+
 def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same events as a Structured Streaming source over a folder."""
     r = spark.readStream.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
