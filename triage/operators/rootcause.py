@@ -74,15 +74,21 @@ def analyze(
     text: str = "log_text",
     cfg: TriageConfig = DEFAULT,
     keep: list[str] | None = None,
+    kinds: list[str] | None = None,
+    fields: list[str] | None = None,
 ) -> DataFrame:
     """One root-cause record per input row.
 
     ``df`` needs ``log_path`` and ``text``; columns in ``keep`` are carried along.
     The text column is dropped from the result, so nothing wide reaches a shuffle.
+    ``kinds`` keeps the records of those error types, before the analysis;
+    ``fields`` names the record fields wanted, and only what they need is extracted.
     """
     keep = [c for c in (keep or []) if c not in ("log_path", text)]
     base = df.select("log_path", *keep, tail_lines(F.col(text), cfg.max_lines).alias("_t"))
     c = classify(base, "_t", cfg)
+    if kinds is not None:
+        c = c.where(F.col("error_type").isin(*kinds))
 
     t = F.col("_t")
     kind = F.when(F.col("error_type").isin(*KINDS), F.col("error_type")).otherwise(F.lit("Other"))
@@ -225,9 +231,7 @@ def analyze(
         F.col("_total_used").alias("total_records"),
         F.col("_path").alias("missing_path"),
     )
-    fields = [
-        F.col("log_path"),
-        *[F.col(c) for c in keep],
+    record = [
         F.current_timestamp().alias("detected_at"),
         root_cause.alias("root_cause"),
         F.when(F.size(evidence) == 0, F.array(F.col("error_message"))).otherwise(evidence).alias("evidence"),
@@ -237,11 +241,15 @@ def analyze(
         hint.alias("remediation_hint"),
         F.col("classification"),
     ]
+    if fields is not None:
+        record = [value for name, value in zip(RECORD_FIELDS[1:], record) if name in fields]
     # The record leaves through a one-row generator: a later filter on any
     # record field (e.g. the confidence gate) stays above it instead of being
     # inlined into every analysis expression below (which multiplies both
-    # plan size and regex evaluations).
-    return d.select(F.inline(F.array(F.struct(*fields))))
+    # plan size and regex evaluations).  The path and the carried columns stay
+    # outside it, so filters on them reach the scan.
+    carried = [F.col("log_path"), *[F.col(name) for name in keep]]
+    return d.select(*carried, F.inline(F.array(F.struct(*record)))) if record else d.select(*carried)
 
 
 def flatten_record(rc: DataFrame, keep: list[str] | None = None) -> DataFrame:

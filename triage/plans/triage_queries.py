@@ -79,14 +79,14 @@ def q_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir)
 
 
-def _flat(spark, sf_dir):
-    out = flatten_record(root_causes(spark, sf_dir))
+def _flat(spark, sf_dir, kinds=None):
+    out = flatten_record(analyze(synth_logs(spark, sf_dir), kinds=kinds))
     return out.withColumn("n_evidence", F.col("n_evidence").cast("bigint"))
 
 
 def _rca_query(kind: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        flat = _flat(spark, sf_dir).where(F.col("error_type") == kind)
+        flat = _flat(spark, sf_dir, [kind])
         return flat.select(*RCA_COMMON, *RCA_COLUMNS[kind])
 
     q.__name__ = f"q_rca_{kind}"
@@ -168,7 +168,7 @@ def q_rule_matches_table(spark, sf_dir):
 
 
 def q_gated_root_causes(spark, sf_dir):
-    g = B.gate(root_causes(spark, sf_dir))
+    g = B.gate(analyze(synth_logs(spark, sf_dir), fields=["confidence", "classification"]))
     return g.select("log_path", F.col("classification.error_type").alias("error_type"), "confidence")
 
 
