@@ -2,13 +2,12 @@
 
 Events arrive as JSON files (Kafka works the same through ``readStream``).
 Duplicates are dropped in the stream (D11).  Each
-micro-batch resolves its events against the log table with a left join
-(``resolve``), analyses the resolved logs and writes the batch's records under
+micro-batch asks once which of its events have a log and writes the answer, so a
+log that lands meanwhile can't fall between the two outputs: records of the
+events with a log, and the retry set of the others.  Everything is written under
 ``epoch=<id>`` with overwrite, so a replayed epoch replaces its own output
-(idempotent sink).  Events whose log is not there yet go to a retry folder;
-each batch unions the previous epoch's retry set with its new events, so a log
-that lands later is still picked up (a plain stream–static join would drop
-such events).
+(idempotent sink).  Each batch unions the previous epoch's retry set with its new
+events; :func:`triage_late_logs` serves the last retry set without new events.
 """
 
 from __future__ import annotations
@@ -44,14 +43,44 @@ def process_batch(
     batch = events.select(*EVENT_COLUMNS)
     if _exists(spark, retry_prev):  # any error in reading it fails the batch
         batch = batch.unionByName(spark.read.schema(batch.schema).parquet(retry_prev))
-    wanted = batch.select("log_path").distinct()
-    resolved = resolve(batch, logs.select("log_path", "log_text").join(wanted, "log_path", "left_semi"))
-    found = resolved.where("ok")
-    rc = analyze(found, cfg=cfg, keep=EVENT_KEYS)
-    rc.write.mode("overwrite").parquet(os.path.join(out, "root_causes", f"epoch={epoch_id}"))
-    resolved.where(~F.col("ok")).select(*EVENT_COLUMNS).write.mode("overwrite").parquet(
-        os.path.join(out, "retry", f"epoch={epoch_id}")
-    )
+    missing = _write_records(spark, batch, logs, out, "root_causes", epoch_id, cfg)
+    missing.write.mode("overwrite").parquet(os.path.join(out, "retry", f"epoch={epoch_id}"))
+
+
+def _write_records(spark, batch, logs, out, table, epoch_id, cfg) -> DataFrame:
+    """Write the records of the events that have a log; the other events."""
+    asked = os.path.join(out, f"{table}_events", f"epoch={epoch_id}")
+    resolve(batch, logs.select("log_path", F.lit("").alias("log_text"))).select(*EVENT_COLUMNS, "ok").write.mode(
+        "overwrite"
+    ).parquet(asked)
+    answered = spark.read.parquet(asked)
+    found = answered.where("ok").drop("ok")
+    wanted = found.select("log_path").distinct()
+    texts = logs.select("log_path", "log_text").join(wanted, "log_path", "left_semi")
+    rc = analyze(resolve(found, texts).where("ok"), cfg=cfg, keep=EVENT_KEYS)
+    rc.write.mode("overwrite").parquet(os.path.join(out, table, f"epoch={epoch_id}"))
+    return answered.where(~F.col("ok")).drop("ok")
+
+
+def _last_epoch(spark: SparkSession, folder: str) -> int | None:
+    if not _exists(spark, folder):
+        return None
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    return max((int(name.split("=")[1]) for name in names if name.startswith("epoch=")), default=None)
+
+
+def triage_late_logs(spark: SparkSession, logs: DataFrame, out: str, cfg: TriageConfig = DEFAULT) -> None:
+    """Triage the last retry set against ``logs`` when no new event starts a batch.
+
+    The records lie apart, under the epoch's number, and are overwritten by the next
+    pass.  The next epoch goes through the same retry set and so replaces them:
+    :func:`read_stream_output` reads those of the last epoch only.
+    """
+    last = _last_epoch(spark, os.path.join(out, "retry"))
+    if last is not None:
+        events = spark.read.parquet(os.path.join(out, "retry", f"epoch={last}"))
+        _write_records(spark, events, logs, out, "late_root_causes", last, cfg)
 
 
 def triage_stream(
@@ -80,5 +109,11 @@ def triage_stream(
 
 
 def read_stream_output(spark: SparkSession, out: str) -> DataFrame:
-    """All records written by the stream (every epoch)."""
-    return spark.read.parquet(os.path.join(out, "root_causes"))
+    """All records written by the stream (every epoch), and those of logs that
+    landed after the last epoch."""
+    records = spark.read.parquet(os.path.join(out, "root_causes"))
+    last = _last_epoch(spark, os.path.join(out, "retry"))
+    late = os.path.join(out, "late_root_causes", f"epoch={last}")
+    if last is None or not _exists(spark, late):
+        return records
+    return records.unionByName(spark.read.parquet(late).withColumn("epoch", F.lit(last)))
