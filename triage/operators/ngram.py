@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from ..session import new_folder
 
 SEP = " "  # tokens are split on a single space, so they never contain it
-BUCKETS = 64  # parts of a successor table; raise it with the table (about 1 GB each)
 SMALL_ROWS = 1_000_000  # live prompts up to this number and size are broadcast
 SMALL_BYTES = 64 << 20
 
@@ -48,14 +47,19 @@ def ngram_pattern(n: int) -> str:
     return r"(?<![^ ])(?=(" + SEP.join(["[^ ]*"] * n) + "))"
 
 
+def _ngrams(corpus: DataFrame, n: int, text: str) -> DataFrame:
+    return corpus.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ngram_pattern(n)), 1)).alias("g"))
+
+
+def _cut(n: int) -> list[Column]:
+    """Context and token of the n-gram ``g``."""
+    return [F.substring_index("g", SEP, n - 1).alias("context"), F.substring_index("g", SEP, -1).alias("token")]
+
+
 def ngram_rows(corpus: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
     """Every n-gram occurrence as ``context, token`` (one regex scan per text,
     inside whole-stage codegen; no per-position lambda)."""
-    g = corpus.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ngram_pattern(n)), 1)).alias("g"))
-    return g.select(
-        F.substring_index("g", SEP, n - 1).alias("context"),
-        F.substring_index("g", SEP, -1).alias("token"),
-    )
+    return _ngrams(corpus, n, text).select(*_cut(n))
 
 
 def count_rows(rows: DataFrame) -> DataFrame:
@@ -63,9 +67,13 @@ def count_rows(rows: DataFrame) -> DataFrame:
 
 
 def ngram_counts(corpus: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
-    """``context, token, n`` over the whole corpus (partial aggregation
-    collapses frequent n-grams before the shuffle)."""
-    return count_rows(ngram_rows(corpus, n, text))
+    """``context, token, n`` over the whole corpus.
+
+    Whole n-grams are counted, since tokens hold no space, and cut into context and token
+    afterwards: one key to hash and shuffle, and each distinct n-gram is cut once.  Partial
+    aggregation collapses frequent n-grams before the shuffle."""
+    counts = _ngrams(corpus, n, text).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*_cut(n), "n")
 
 
 def ngram_model(counts: DataFrame) -> DataFrame:
@@ -131,6 +139,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _parts(spark: SparkSession) -> int:
+    """Buckets of a successor table: as many as the session has shuffle partitions, the
+    number that its user sizes to the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _bucket(context: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(context), F.lit(buckets)).cast("int")
 
@@ -205,14 +219,15 @@ def generate_greedy(
     n: int = 3,
     key: str = "prompt_id",
     text: str = "text",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """append the most probable next token ``steps`` times; a prompt stops
     at the first context the model has not seen.
 
     ``key`` is unique in ``prompts``.  ``buckets`` is the number of parts of the
-    successor table; a step reads those that hold a live prompt's context."""
-    store = new_folder(prompts.sparkSession, "generation")
+    successor table (None: :func:`_parts`); a step reads those that hold a live
+    prompt's context."""
+    store, buckets = new_folder(prompts.sparkSession, "generation"), buckets or _parts(prompts.sparkSession)
     best = _bucketed(best_successors(counts).withColumnRenamed("token", "next"), f"{store}/best", buckets)
 
     def successors(live, wanted, spread, step):
@@ -262,7 +277,7 @@ def generate_random(
     n: int = 3,
     key: str = "prompt_id",
     text: str = "text",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """F8: sample each next token from the model's distribution.
 
@@ -271,6 +286,7 @@ def generate_random(
     reruns and retried tasks agree.  A step finds the chunk, then the token in it.
     """
     spark, store = prompts.sparkSession, new_folder(prompts.sparkSession, "generation")
+    buckets = buckets or _parts(spark)
     by_chunk, by_token = successor_ranges(counts)
     chunks = _bucketed(by_chunk, f"{store}/chunks", buckets)
     tokens = _bucketed(by_token.withColumnRenamed("token", "next"), f"{store}/tokens", buckets)
