@@ -85,3 +85,22 @@ def test_unigram_generation_goes_on(spark):
     prompts = spark.createDataFrame([(1, "x y")], "prompt_id long, text string")
     row = N.generate_greedy(prompts, counts, 4, n=1).first()
     assert row["n_generated"] == 4 and row["generated"].split(N.SEP) == ["a"] * 4
+
+
+def test_big_and_small_files_give_the_same_tail(spark, tmp_path):
+    texts = {
+        "open.log": b"one\ntwo\nthree", "ended.log": b"one\ntwo\nthree\n", "crlf.log": b"a\r\nb\r\nc\r\n", "crlf_open.log": b"a\r\nb\r\nc",
+        "blank.log": b"\n\n\n", "bytes.log": b"ok\n\xff\xfe bad\nlast", "marked.log": b"\xef\xbb\xbfone\ntwo\nthree\n", "long.log": b"x" * 500 + b"\ny\n" * 40 + b"z",
+    }
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        for lines in (1, 2, 30):
+            small, big = ({(r.log_path, r.log_text) for r in read_logs(spark, str(tmp_path), max_lines=lines, big_file_bytes=size).collect()} for size in (10**6, 1))
+            if lines == 30:  # the mark at the start is part of a whole text only
+                small = {(path, text.lstrip("﻿")) for path, text in small}
+            assert small == big and len(small) == len(texts)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -15,9 +15,7 @@ only the blocks that hold the last ``max_lines`` lines are kept (SURVEY §4.3):
 
 from __future__ import annotations
 
-import fnmatch
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -50,14 +48,14 @@ def _relative(spark: SparkSession, file_path, root: str):
 
 
 def _empty_logs(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Files of no bytes, which Spark's file scan leaves out: found by the file listing."""
-    fs, path = _qualified(spark, root)
-    found, files = [], fs.listFiles(path, True)
-    while files.hasNext():
-        status = files.next()
-        if status.getLen() == 0 and fnmatch.fnmatchcase(status.getPath().getName(), pattern):
-            found.append((status.getPath().toUri().toString(), ""))
-    return spark.createDataFrame(found, "file_path string, log_text string")
+    """Files of no bytes, which Spark's scans leave out: what the scan lists but does not
+    read.  The listing is the one that Spark makes of any folder, and stays in the JVM;
+    the scan reads names alone."""
+    scan = _reader(spark, pattern).format("binaryFile").load(root).select(F.col("_metadata.file_path").alias("file_path"))
+    names = Column(spark._jvm.org.apache.spark.sql.functions.lit(scan._jdf.inputFiles()))
+    listed = spark.range(1).select(F.explode(names).alias("file_path"))
+    listed = listed.select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path"))
+    return listed.join(scan, "file_path", "left_anti").withColumn("log_text", F.lit(""))
 
 
 def _with_names(df: DataFrame, root: str) -> DataFrame:
@@ -93,38 +91,36 @@ def read_logs(
 def _big_file_tails(spark, root, pattern, max_lines, big_file_bytes) -> DataFrame:
     lines = (
         _reader(spark, pattern)
+        .option("lineSep", "\n")
         .text(root)
         .where(F.col("_metadata.file_size") > big_file_bytes)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_size").alias("size"),
             F.col("_metadata.file_block_start").alias("blk"),
             F.monotonically_increasing_id().alias("mid"),
-            decode_text(F.col("value")).alias("line"),
+            F.col("value").alias("line"),
         )
     )
-    per_block = lines.groupBy("file_path", "blk").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("file_path").orderBy(F.col("blk").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    spans = F.sum(F.octet_length("line") + 1)
+    per_block = lines.groupBy("file_path", "size", "blk").agg(F.count(F.lit(1)).alias("n"), spans.alias("spans"))
+    whole = Window.partitionBy("file_path")
+    w = whole.orderBy(F.col("blk").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # lines with an ending each make up the file, unless the last one has none; a mark of
+    # three bytes at the start of the file is not part of a line
+    over = F.sum("spans").over(whole) - F.col("size")
     needed = (
-        per_block.withColumn("after", F.sum("n").over(w) - F.col("n"))
+        per_block.withColumns({"after": F.sum("n").over(w) - F.col("n"), "ended": over.isin(0, -3)})
         .where(F.col("after") < max_lines)
-        .select("file_path", "blk")
+        .select("file_path", "blk", "ended")
     )
-    kept = lines.join(needed, ["file_path", "blk"], "left_semi")
+    kept = lines.join(needed, ["file_path", "blk"])
     rank = Window.partitionBy("file_path").orderBy(F.col("blk").desc(), F.col("mid").desc())
     last = kept.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= max_lines)
-    return last.groupBy("file_path").agg(
-        F.concat(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("blk", "mid", "line"))), lambda s: s["line"]
-                ),
-                "\n",
-            ),
-            F.lit("\n"),
-        ).alias("log_text")
-    )
+    rows = F.array_sort(F.collect_list(F.struct("blk", "mid", "line")))
+    text = F.concat(F.array_join(F.transform(rows, lambda s: s["line"]), "\n"), F.when(F.bool_or("ended"), "\n").otherwise(""))
+    tails = last.groupBy("file_path").agg(text.alias("log_text"))
+    return tails.select("file_path", tail_lines(normalize_newlines(decode_text(F.col("log_text"))), max_lines).alias("log_text"))
 
 
 def log_files(spark: SparkSession, root: str, pattern: str = "*.log") -> DataFrame:
