@@ -33,6 +33,7 @@ from . import scratch
 PERIOD = 1000
 RUNS_OUT = 0.1
 BUCKET_ROWS = 200
+MOST_BUCKETS = 1_000_000  # the prefix sums of a source run over its buckets; beyond, buckets grow instead
 BROADCAST_SOURCES = 10_000
 
 
@@ -49,7 +50,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """``m_source, m_doc, m_key, m_bytes`` and ``m_block``: prefix sums in hash order, bucket by bucket."""
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("m_bytes")
     items = scratch.saved(docs.select(*_identity(docs), size).groupBy("m_source", "m_doc", "m_key").agg(F.sum("m_bytes").alias("m_bytes")), "mix-items")
-    buckets = max(1, items.count() // BUCKET_ROWS)
+    buckets = max(1, min(items.count() // BUCKET_ROWS, MOST_BUCKETS))
     items = items.withColumn("m_bucket", F.pmod(F.xxhash64("m_key"), F.lit(buckets)))
     earlier = Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (
