@@ -142,6 +142,20 @@ def test_pfair_windows_and_deviation(spark):
         assert slots.setdefault(r.slot, (r.m_source, r.block)) == (r.m_source, r.block)
 
 
+def test_mix_keeps_every_row_of_a_hot_source(spark, odd):
+    text = "some words of a text " * 10
+    rows = [(k, f"{k} {text}", "hot" if k % 3 else None if k % 2 else f"s{k % 20}") for k in range(600)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in (None, {"hot": 0.1, "s0": 0.5, "s6": 0.4}):
+        slots = {(r.m_source, r.m_doc): r.slot for r in mixing.schedule(docs, weights, block_bytes=512).collect()}
+        mixed = [tuple(r) for r in mixing.mix(docs, weights, block_bytes=512).collect()]
+        assert Counter(mixed) == Counter(rows)
+        order = [slots[s, k] for k, _, s in mixed]
+        assert order == sorted(order)
+    assert Counter(map(tuple, mixing.mix(odd).collect())) == Counter(map(tuple, odd.collect()))
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(10, 0), (500, 3), (5000, 40), (100, 90)]
     df = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p"))

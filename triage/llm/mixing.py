@@ -10,11 +10,12 @@ weight's share to within less than one block.
 Weights are rounded to whole blocks a period (at least one for each source); a
 schedule of such weights repeats, so one period is scheduled and block j of a
 source with a blocks a period runs in period j div a, at the slot of its block
-j mod a.  The mix lasts while sources with over 90 % of the weight can supply
-their share; small sources that run out before then give all they have, and the
-blocks of over-represented sources that would come later are held out
-(``in_mix`` false).  Without given weights the target is the bytes of a source to
-the power 0.9, which lowers the share of the largest.
+j mod a.  Every document is in the mix.  A source that has run out leaves its
+slots empty and the others go on in the proportion of their weights, so what
+over-represented sources have beyond the target comes last; ``on_target`` holds
+for the slots in which sources with over 90 % of the weight can supply their
+share.  Without given weights the target is the bytes of a source to the power
+0.9, which lowers the share of the largest.
 
 Edge cases: a null source is a source of its own and a null text has no bytes;
 rows that repeat source, ``doc_id`` and text move together; sources without a
@@ -64,7 +65,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _sources(blocks: DataFrame, weights: dict[str, float] | None, exponent: float) -> DataFrame:
-    """For each source: its number, blocks a period ``s_a``, the period ``s_w`` and the mix's last slot ``s_end``."""
+    """For each source: its number, blocks a period ``s_a``, the period ``s_w`` and the slot ``s_end`` at which the target ends."""
     supply = blocks.groupBy(F.col("m_source").alias("s_source")).agg(F.sum("m_bytes").alias("bytes"), (F.max("m_block") + 1).alias("s_blocks"))
     if weights is None:
         raw = F.pow(F.greatest(F.col("bytes"), F.lit(1)).cast("double"), F.lit(exponent))
@@ -101,7 +102,7 @@ def _period(sources: DataFrame) -> DataFrame:
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 16, exponent: float = 0.9) -> DataFrame:
-    """A row for each distinct (source, doc_id, text): its block, ``release``, ``deadline``, ``slot`` and ``in_mix``."""
+    """A row for each distinct (source, doc_id, text): its block, ``release``, ``deadline``, ``slot`` and ``on_target``."""
     blocks = scratch.saved(_blocks(docs, block_bytes), "mix-blocks")
     sources = scratch.saved(_sources(blocks, weights, exponent), "mix-sources")
     period = _period(sources)
@@ -113,13 +114,13 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     return placed.select(
         "m_source", "m_doc", "m_key", "m_bytes", F.col("m_block").alias("block"),
         F.expr("m_block * s_w div s_a").alias("release"), F.expr("((m_block + 1) * s_w + s_a - 1) div s_a").alias("deadline"),
-        slot.alias("slot"), (slot < F.col("s_end")).alias("in_mix"),
+        slot.alias("slot"), (slot < F.col("s_end")).alias("on_target"),
     )
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 16, exponent: float = 0.9) -> DataFrame:
-    """The documents of the mix, with their columns, ordered by the schedule across the files written from it."""
-    plan = schedule(docs, weights, block_bytes, exponent).where("in_mix").select("m_source", "m_doc", "m_key", "slot")
+    """All documents, with their columns, ordered by the schedule across the files written from it."""
+    plan = schedule(docs, weights, block_bytes, exponent).select("m_source", "m_doc", "m_key", "slot")
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), *[c.alias(n) for c, n in zip(_identity(docs), ("d_source", "d_doc", "d_key"))])
     same = F.col("d_source").eqNullSafe(F.col("m_source")) & F.col("d_doc").eqNullSafe(F.col("m_doc")) & (F.col("d_key") == F.col("m_key"))
     return mine.join(plan, same).repartitionByRange("slot", "m_key").sortWithinPartitions("slot", "m_source", "m_key").select("m_row.*")

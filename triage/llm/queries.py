@@ -33,7 +33,7 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.schedule(read_table(spark, sf_dir, "documents"))
-    return planned.select(F.col("m_doc").alias("doc_id"), F.col("m_source").alias("source"), F.col("m_bytes").alias("bytes"), "block", "release", "deadline", "slot", "in_mix")
+    return planned.select(F.col("m_doc").alias("doc_id"), F.col("m_source").alias("source"), F.col("m_bytes").alias("bytes"), "block", "release", "deadline", "slot", "on_target")
 
 
 def op4_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
