@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -265,6 +266,25 @@ def test_vector_copies_equal_brute_force(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in (950, 951, 952, 953, 954)) and got[None].component_id is None
 
 
+def test_links_of_isolated_pairs_are_audited():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 256))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = 0.4 * x[:500] + np.sqrt((1 - 0.4**2) / 256) * rng.normal(size=(500, 256))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    asked = np.concatenate([x[500:], y])
+    no = lambda n, value=0, kind=pa.int32(): pa.array(np.full(n, value), kind)
+    rows = pa.RecordBatch.from_arrays([no(2000, 256), no(2000), pa.array(range(2000), pa.int64()), no(2000, 1, pa.int64()), pa.array([v.tobytes() for v in x])], names=["dims", "shard", "rep", "copies", "unit"])
+    graph = [b.add_column(2, "block", no(b.num_rows)) for b in vector_dedup._graphs(iter([rows]))]
+    reps = pa.array([*range(500, 2000), *range(5000, 5500)], pa.int64())
+    query = pa.RecordBatch.from_arrays([no(2000, 256), no(2000), no(2000), no(2000, 2), no(2000), no(2000, 0, pa.int64()), reps, no(2000, 1, pa.int64()), pa.array([v.tobytes() for v in asked])],
+                                       names=["dims", "shard", "block", "kind", "layer", "first", "rep", "copies", "data"])
+    answers = pa.Table.from_batches(vector_dedup._answers(0.35)(iter([*graph, query])))
+    got = {a: b for kind, a, b in zip(*(answers[c].to_pylist() for c in ("kind", "a", "b"))) if kind == 0}
+    near = (asked @ x.T >= 0.35).sum(axis=1) - (np.arange(2000) < 1500)
+    assert near.sum() >= 400 and [got[r] for r in reps.to_pylist()] == near.tolist()
+
+
 def test_quality_and_language_are_learned(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
