@@ -208,6 +208,16 @@ def test_near_copies_equal_brute_force(spark):
     assert {k: (r.component_id, r.n_shingles) for k, r in got.items()} == {k: (root(k), len(sets[k])) for k in sets}
 
 
+def test_each_text_of_a_repeated_id_counts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "y"), (7, c, "x"), (8, c + " end", "x"), (9, None, "x"), (9, c, "z"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_copies(docs).collect()}
+    assert got == {(3, 3), (5, 3), (7, 7), (8, 7), (9, 7), (9, 9), (None, None)}  # the null text of 9 has no set
+    left = Counter(map(tuple, near_dedup.without_copies(docs).collect()))
+    assert left == Counter([(3, a, "x"), (5, b, "y"), (5, b, "y"), (7, c, "x"), (9, None, "x"), (None, a, "x")])
+
+
 def test_katz_equals_brute_force_and_sums_to_one(spark):
     docs = read_table(spark, SMALL, "documents")
     got = {r.doc_id: r for r in katz.katz_scores(docs).collect()}

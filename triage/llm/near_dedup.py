@@ -21,8 +21,8 @@ Nothing is capped: a bucket of any size is covered.
 
 Edge cases: with fewer words than a shingle has the whole sequence is the one
 shingle; null, empty and wordless texts have no set and are alone; rows that
-repeat a ``doc_id`` are one document with several texts, linked by any of them;
-rows with null ``doc_id`` are not compared (null component, kept); an empty
+repeat a ``doc_id`` are one document with several texts, linked by any of them
+(``without_copies`` decides on each of its texts for itself); rows with null ``doc_id`` are not compared (null component, kept); an empty
 table gives no rows.  Other columns are ignored.
 """
 
@@ -255,11 +255,32 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return scratch.saved(both.mapInArrow(_verified(size, percent), "a long, b long").distinct(), "dedup-links")
 
 
+def _several_texts(docs: DataFrame) -> DataFrame:
+    """Ids of rows that repeat a ``doc_id`` with another text."""
+    hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text", F.isnull("text")).alias("h"))
+    return hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select(F.col("doc_id").alias("__several"))
+
+
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents (all columns) but for those whose group has one with a smaller ``doc_id``."""
-    gone = scratch.saved(near_copies(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "dedup-gone")
+    """The documents (all columns) but for those whose group has one with a smaller ``doc_id``.
+
+    A ``doc_id`` with several texts counts as so many documents, after all others: a
+    unique text stays though another one of its id is a copy.
+    """
+    key = F.col("doc_id").cast("long")
+    several = scratch.saved(_several_texts(docs.select(key.alias("doc_id"), "text")), "dedup-several")
+    n = several.limit(BROADCAST_IDS + 1).count()
+    if n:
+        several = F.broadcast(several) if n <= BROADCAST_IDS else several
+        own = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+        noted = docs.withColumn("__id", key).join(several, F.col("__id") == F.col("__several"), "left")
+        named = noted.withColumn("__id", F.when(F.col("__several").isNull(), F.col("__id")).otherwise(own)).drop("__several")
+    else:
+        named = docs.withColumn("__id", key)
+    found = near_copies(named.select(F.col("__id").alias("doc_id"), "text"), size, percent)
+    gone = scratch.saved(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "dedup-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return named.join(gone, F.col("__id") == F.col("__gone"), "left_anti").drop("__id")
 
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -286,6 +307,9 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     paired = candidates.join(b, F.col("b") == F.col("right_rep")).join(a, F.col("a") == F.col("left_rep"))
     paired = paired.where(100 * F.least("left_n", "right_n") >= percent * F.greatest("left_n", "right_n")).select("a", "b", "left", "right")
     links = _confirm(paired.mapInArrow(_sieved(needed), "a long, b long"), docs, size, percent)
+    classed = named.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low != high").select(F.col("doc_id").alias("several"))
+    again = named.join(classed, F.col("doc_id") == F.col("several")).join(classes.select("rep", *[F.col(c).alias(f"c_{c}") for c in key]), [F.col(c) == F.col(f"c_{c}") for c in key])
+    links = links.union(scratch.saved(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct(), "dedup-repeated"))
     label = components(links)
 
     open_buckets = shared.where(F.size("hubs") < F.col("n") - 1).select("bucket", "rep")  # not all pairs have been candidates
