@@ -17,6 +17,7 @@ from .repair import auto_join
 
 EVENT_KEYS = ["dag_id", "task_id", "run_id", "attempt"]
 RUN_KEYS = ["dag_id", "task_id", "run_id"]
+ARRIVED = "_arrived"
 
 
 def resolve(events: DataFrame, logs: DataFrame) -> DataFrame:
@@ -158,14 +159,25 @@ def dedup_events(events: DataFrame, keys: list[str] = EVENT_KEYS) -> DataFrame:
     )
 
 
-def dedup_stream(events: DataFrame, keys: list[str] = EVENT_KEYS, delay: str = "1 hour") -> DataFrame:
-    """D11 (stream): one event for each key, however late.
+def arriving(stream: DataFrame, retention: str) -> DataFrame:
+    """``stream`` with the time of its batch as ``_arrived``, the watermark's column.
 
-    No watermark is used, since it would discard late events of new keys as
-    well; the state is one row for each key.  ``delay`` is kept for callers and
-    has no effect.
+    Arrival times only grow, so no row is late by this watermark, however old its own
+    time is; it only tells for how long state is kept.
     """
-    return events.dropDuplicates(keys)
+    return stream.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, retention)
+
+
+def dedup_stream(events: DataFrame, keys: list[str] = EVENT_KEYS, retention: str = "30 days") -> DataFrame:
+    """D11 (stream): one event for each key; late events of new keys are kept.
+
+    A key is remembered for ``retention`` after its event arrived and then leaves the
+    state, so the state holds the keys of that time; a copy that comes later still
+    counts as new.
+    """
+    timed = events if ARRIVED in events.columns else arriving(events, retention)
+    once = timed.dropDuplicatesWithinWatermark(keys)
+    return once if ARRIVED in events.columns else once.drop(ARRIVED)
 
 
 def last_attempt(events: DataFrame, keys: list[str] = RUN_KEYS) -> DataFrame:

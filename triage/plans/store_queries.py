@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from ..operators import events as D
 from ..operators import repair as R
 from ..operators import sinks as S
+from ..operators.classify import classify
 from ..operators.rootcause import flatten_record
 from ..session import new_folder
-from ..sources.events import read_events, write_events
-from ..sources.synth import synth_failure_events
+from ..sources.events import event_stream, read_events, write_events
+from ..sources.log_source import write_logs
+from ..sources.logs import read_logs
+from ..sources.synth import SYNTH_FAILURE_EVENTS_SQL, duck, synth_failure_events, synth_logs
 from ..sources.tables import read_table, table_path
+from ..streaming.triage_stream import read_stream_output, triage_arrivals
 from .oracle import CLASSIFY_CTES, EVENTS_CTE, FLAT_COLUMNS, LOGS_CTE, with_rc
 from .triage_queries import root_causes
 
@@ -66,6 +70,45 @@ def q_stored_event_dedup(spark, sf_dir):
     return _scalars(once.withColumn("n_copies", F.col("n_copies").cast("bigint")))
 
 
+def _written_logs(spark, sf_dir):
+    """The logs as files, a quarter of them in one folder; the folder of the logs."""
+    path = new_folder(spark, "log-files")
+    write_logs(synth_logs(spark, sf_dir).repartition("log_path"), path)
+    return f"{path}/logs"
+
+
+def q_stored_logs(spark, sf_dir):
+    """A1: the logs as files, listed and read in tasks, then classified."""
+    read = classify(read_logs(spark, _written_logs(spark, sf_dir)))
+    return read.select("log_path", "task_id", F.length("log_text").cast("bigint").alias("n_chars"), "error_type", "error_message", F.col("cls_confidence"))
+
+
+def _streamed_events(spark, sf_dir, path):
+    """The failure events with a run each, as JSON files; every third one is sent twice."""
+    events = synth_failure_events(spark, sf_dir).withColumn("run_id", F.concat("run_id", F.lit("_"), F.col("event_id").cast("string")))
+    events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    write_events(events.union(events.where("event_id % 3 = 0")).drop("event_id").repartition(4, "log_path"), path)
+
+
+def q_stream_dedup(spark, sf_dir):
+    """D11 as a stream: each event once, however often it came."""
+    path = new_folder(spark, "event-stream")
+    _streamed_events(spark, sf_dir, f"{path}/events")
+    once = D.dedup_stream(event_stream(spark, f"{path}/events"))
+    written = once.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/once")
+    written.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/once").select("dag_id", "task_id", "run_id", "attempt", "log_path")
+
+
+def q_streamed_root_causes(spark, sf_dir):
+    """Events and log files as two streams, from the files to the records."""
+    path = new_folder(spark, "triage-stream")
+    _streamed_events(spark, sf_dir, f"{path}/events")
+    triage_arrivals(spark, f"{path}/events", _written_logs(spark, sf_dir), f"{path}/out", f"{path}/checkpoint", settle=0).awaitTermination()
+    records = read_stream_output(spark, f"{path}/out")
+    return records.select("run_id", "log_path", F.col("classification.error_type").alias("error_type"), "root_cause", "confidence")
+
+
 def q_catalog_drift(spark, sf_dir):
     """A catalog of (table, column) pairs against a later one; a brand plays the
     table, type and size the column, and parts above size 30 are new."""
@@ -104,11 +147,15 @@ QUERIES = {
     "stored_summaries": q_stored_summaries,
     "stored_events": q_stored_events,
     "stored_event_dedup": q_stored_event_dedup,
+    "stored_logs": q_stored_logs,
+    "stream_dedup": q_stream_dedup,
+    "streamed_root_causes": q_streamed_root_causes,
     "catalog_drift": q_catalog_drift,
     "fact_dim_job": q_fact_dim_job,
     "plan_application": q_plan_application,
 }
 
+EVENTS_SQL = duck(SYNTH_FAILURE_EVENTS_SQL)
 _FLAT = with_rc(f"SELECT {FLAT_COLUMNS} FROM flat")
 
 ORACLE = {
@@ -127,6 +174,13 @@ FROM fevents""",
 SELECT source, project, dag_id, task_id, run_id, attempt, timestamp, log_path, job_file,
   CAST(event_id AS VARCHAR) AS event_id, dag_id AS dag, false AS corrupt, CAST(n_copies AS BIGINT) AS n_copies
 FROM ranked WHERE r = 1""",
+    "stored_logs": f"""WITH {LOGS_CTE},{CLASSIFY_CTES}
+SELECT c.log_path, l.task_id, CAST(length(l.log_text) AS BIGINT) AS n_chars, c.error_type, c.error_message, c.cls_confidence
+FROM cls c JOIN logs l ON l.log_path = c.log_path""",
+    "stream_dedup": f"""WITH {EVENTS_CTE}
+SELECT dag_id, task_id, run_id || '_' || CAST(event_id AS VARCHAR) AS run_id, attempt, log_path FROM fevents""",
+    "streamed_root_causes": with_rc(f"""SELECT e.run_id || '_' || CAST(e.event_id AS VARCHAR) AS run_id, rc.log_path, rc.error_type, rc.root_cause, rc.confidence
+FROM rc JOIN ({EVENTS_SQL}) e ON e.log_path = rc.log_path"""),
     "catalog_drift": """WITH e AS (SELECT DISTINCT p_brand, p_type || '_' || p_size AS c FROM part WHERE p_size <= 30),
 i AS (SELECT DISTINCT p_brand, p_type || '_' || p_size AS c FROM part WHERE p_size > 20)
 SELECT coalesce(e.p_brand, i.p_brand) AS table_name,

@@ -1,9 +1,10 @@
 """A1/A2 — log files as a DataFrame of ``(log_path, task_id, log_text)``.
 
-Normal files are read whole (``wholetext``), one row per file, and cut to their
-tail right away so only the tail travels further.  Files above
-``big_file_bytes`` cannot be one string safely; they are read line by line and
-only the blocks that hold the last ``max_lines`` lines are kept (SURVEY §4.3):
+:func:`read_logs` lists files in tasks and reads each from its end.  Where the
+store opens for Spark's readers alone, :func:`scan_logs` reads normal files whole
+(``wholetext``), one row per file, and cuts them to their tail right away so only the
+tail travels further.  Files above ``big_file_bytes`` cannot be one string safely;
+they are read line by line and only the blocks that hold the last ``max_lines`` lines are kept (SURVEY §4.3):
 
 1. per (file, block) line counts — a map-side-combined aggregate;
 2. running count from the last block backwards per file — a window over a
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import decode_text, normalize_newlines, tail_lines
+from .log_source import list_logs, opens, read_tails, scheme_of
 
 BIG_FILE_BYTES = 64 * 1024 * 1024
+TASK_FOLDER = r"([^/]+)/[^/]+$"
 
 
 def _reader(spark: SparkSession, pattern: str):
@@ -60,7 +63,7 @@ def _empty_logs(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 def _with_names(df: DataFrame, root: str) -> DataFrame:
     df = df.withColumn("log_path", _relative(df.sparkSession, F.col("file_path"), root))
-    return df.withColumn("task_id", F.regexp_extract("log_path", r"([^/]+)/[^/]+$", 1))
+    return df.withColumn("task_id", F.regexp_extract("log_path", TASK_FOLDER, 1))
 
 
 def read_logs(
@@ -69,11 +72,39 @@ def read_logs(
     pattern: str = "*.log",
     max_lines: int = C.MAX_LINES,
     big_file_bytes: int = BIG_FILE_BYTES,
+    depth: int = 1,
+    parts: int | None = None,
 ) -> DataFrame:
     """All ``pattern`` files under ``root`` → ``file_path, log_path, task_id, log_text``.
 
-    ``log_text`` is the decoded, newline-normalised tail of at most ``max_lines``.
+    ``log_text`` is the decoded, newline-normalised tail of at most ``max_lines``; empty
+    for an empty file and for one that can't be read.  Files are listed in tasks, by
+    folder (``depth`` levels below the root), and read from their ends in ``parts``
+    tasks (``triage.sources.log_source``).  Stores that pyarrow doesn't open go
+    through :func:`scan_logs`, the only user of ``big_file_bytes``.
     """
+    if not opens(scheme_of(spark, root)):
+        return scan_logs(spark, root, pattern, max_lines, big_file_bytes)
+    return decoded_logs(read_tails(list_logs(spark, root, pattern, depth), root, max_lines, parts), max_lines).select(
+        "file_path", "log_path", "task_id", "log_text"
+    )
+
+
+def decoded_logs(tails: DataFrame, max_lines: int = C.MAX_LINES) -> DataFrame:
+    """The tails as text, with the task whose folder they lie in."""
+    text = tail_lines(normalize_newlines(decode_text(F.col("raw"))), max_lines)
+    return tails.withColumns({"log_text": text, "task_id": F.regexp_extract("log_path", TASK_FOLDER, 1)}).drop("raw")
+
+
+def scan_logs(
+    spark: SparkSession,
+    root: str,
+    pattern: str = "*.log",
+    max_lines: int = C.MAX_LINES,
+    big_file_bytes: int = BIG_FILE_BYTES,
+) -> DataFrame:
+    """The same by Spark's own scans, for stores that only they open.  Spark lists all
+    files on the driver then, and an unreadable file fails the job."""
     whole = (
         _reader(spark, pattern)
         .text(root, wholetext=True)

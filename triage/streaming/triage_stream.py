@@ -1,7 +1,15 @@
 """D10/D11 — streaming triage: failure events → logs → root causes.
 
 Events arrive as JSON files (Kafka works the same through ``readStream``).
-Duplicates are dropped in the stream (D11).  Each
+Duplicates are dropped in the stream (D11).
+
+:func:`triage_arrivals` has two streams, events and log files: a batch lists and reads
+the log files that are new since the one before and no others, analyses them, and an
+outer stream join brings record and event together, whichever arrives first.  Both
+sides wait in the join's state by arrival time and leave it when their time is over;
+an event whose log doesn't come is then given out as missing.
+
+:func:`triage_stream` joins the events with a table of logs instead.  Each
 micro-batch asks once which of its events have a log and writes the answer, so a
 log that lands meanwhile can't fall between the two outputs: records of the
 events with a log, and the retry set of the others.  Everything is written under
@@ -18,9 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TriageConfig
-from ..operators.events import EVENT_KEYS, dedup_stream, resolve
+from ..operators.events import ARRIVED, EVENT_KEYS, arriving, dedup_stream, resolve
 from ..operators.rootcause import analyze
 from ..sources.events import EVENT_SCHEMA, event_stream
+from ..sources.log_source import log_arrivals, read_tails
+from ..sources.logs import decoded_logs
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 EVENT_COLUMNS = [f.name for f in EVENT_SCHEMA.fields if f.name != "_corrupt_record"]
 
@@ -90,7 +102,7 @@ def triage_stream(
     out: str,
     checkpoint: str,
     cfg: TriageConfig = DEFAULT,
-    delay: str = "1 hour",
+    retention: str = "30 days",
     available_now: bool = True,
 ):
     """Start the streaming triage query; returns the ``StreamingQuery``.
@@ -98,7 +110,7 @@ def triage_stream(
     ``logs`` is a batch DataFrame of ``log_path, log_text`` (for example a log
     table maintained by ``read_logs``); it is re-read by every micro-batch.
     """
-    ev = dedup_stream(event_stream(spark, events_path), EVENT_KEYS, delay)
+    ev = dedup_stream(event_stream(spark, events_path), EVENT_KEYS, retention)
 
     def handle(df: DataFrame, epoch_id: int) -> None:
         process_batch(spark, df, logs, out, epoch_id, cfg)
@@ -108,6 +120,78 @@ def triage_stream(
     return w.start()
 
 
+def paired(events: DataFrame, records: DataFrame, wait: str, keep: str) -> DataFrame:
+    """Events (``_arrived``, ``log_path``) with their record, as an outer join of two streams.
+
+    An event waits ``wait`` for its log and a record ``keep`` for its event.
+    ``records`` has ``log_path``; a released event has nulls in their columns.
+    """
+    log = records.withColumnsRenamed({"log_path": "_log_path", ARRIVED: "_log_arrived"})
+    met = (
+        (F.col("log_path") == F.col("_log_path"))
+        & (F.col("_log_arrived") >= F.col(ARRIVED) - F.expr(f"INTERVAL {keep}"))
+        & (F.col("_log_arrived") <= F.col(ARRIVED) + F.expr(f"INTERVAL {wait}"))
+    )
+    return events.join(log, met, "left_outer").drop("_log_arrived")
+
+
+def triage_arrivals(
+    spark: SparkSession,
+    events_path: str,
+    logs_root: str,
+    out: str,
+    checkpoint: str,
+    cfg: TriageConfig = DEFAULT,
+    retention: str = "30 days",
+    wait: str = "1 day",
+    keep: str = "1 day",
+    pattern: str = "*.log",
+    depth: int = 1,
+    settle: float = 5,
+    overlap: float = 0,
+    available_now: bool = True,
+    max_files_per_trigger: int | None = None,
+):
+    """Start the triage of two streams, events and log files; returns the ``StreamingQuery``.
+
+    ``log_path`` of an event is relative to the folder that holds ``logs_root``
+    (``logs/<task>/<run>.log`` for the root ``…/logs``).  ``retention``: how long a key
+    is remembered for duplicates (D11); ``wait`` and ``keep``: see :func:`paired`.  A log
+    that is written again while its event is in the state gives another record, with
+    a later ``modified``.  Time passes with the batches that have rows, so released
+    events come out with the first such batch after their time.
+
+    Writes ``root_causes/epoch=<id>`` and ``log_missing/epoch=<id>`` under ``out``; a replayed
+    epoch replaces its own output.
+    """
+    events = dedup_stream(arriving(event_stream(spark, events_path, max_files_per_trigger), retention), EVENT_KEYS)
+    tails = read_tails(log_arrivals(spark, logs_root, pattern, depth, settle, overlap), logs_root, cfg.max_lines)
+    records = analyze(decoded_logs(tails, cfg.max_lines), cfg=cfg, keep=["modified"])
+    joined = paired(events.select(*EVENT_COLUMNS, ARRIVED), arriving(records, "0 seconds"), wait, keep)
+
+    def handle(df: DataFrame, epoch_id: int) -> None:
+        df = df.drop(ARRIVED).persist()
+        found = df.where(F.col("_log_path").isNotNull()).drop("_log_path")
+        missing = df.where(F.col("_log_path").isNull()).select(*EVENT_COLUMNS)
+        found.write.mode("overwrite").parquet(os.path.join(out, "root_causes", f"epoch={epoch_id}"))
+        missing.write.mode("overwrite").parquet(os.path.join(out, "log_missing", f"epoch={epoch_id}"))
+        df.unpersist()
+
+    w = joined.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    # The later of the two watermarks counts: arrival times are never late, and a stream
+    # without rows must not hold back the other's state.  A query keeps the settings of its start.
+    wanted = {"spark.sql.streaming.multipleWatermarkPolicy": "max", "spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        return w.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def read_stream_output(spark: SparkSession, out: str) -> DataFrame:
     """All records written by the stream (every epoch), and those of logs that
     landed after the last epoch."""
