@@ -88,7 +88,7 @@ def context_model(corpus: DataFrame, contexts: DataFrame, n: int = 3, text: str
     N-gram occurrences are semi-joined with the wanted contexts *before*
     counting, so only those are shuffled; a context's probabilities depend on
     its own counts only, so the result equals the full model's rows for it.
-    The context table is broadcast only after its size is measured.
+    The context table is broadcast only if its files prove it to be small.
     """
     from .repair import auto_join
 

@@ -4,23 +4,26 @@ Scale notes, operator by operator:
 
 * Aggregates keep Spark's map-side partial aggregation: a hot key is collapsed
   inside each input partition before anything is shuffled.
-* A side is broadcast only after :func:`measure` has proven its row count and
-  serialized size are under the limits; otherwise the join is a shuffle join
-  (AQE may still split skewed partitions).
+* A side is broadcast only if file footers prove its rows and bytes to be under the
+  limits (``sources.sizes``, no Spark job); otherwise the join is a shuffle join
+  that AQE may turn into a broadcast, or whose skewed partitions it may split.
 * Salts come from row content (``xxhash64``), never ``rand()``, so a re-run
   task produces the same salt for the same row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
+from ..sources.sizes import fits_broadcast
 
-BROADCAST_MAX_ROWS = 10_000_000
+# Key types that a frequent-items summary takes.
+SUMMARISED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.StringType, T.DecimalType)
 
 
 # ---------------------------------------------------------------------------
@@ -72,33 +75,6 @@ def reconcile(df: DataFrame, pairs: list[tuple[str, str]] | dict[str, str]) -> D
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-# ---------------------------------------------------------------------------
-# Size checks
-# ---------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class SideSize:
-    rows: int
-    bytes: int
-    bounded: bool  # True when rows <= max_rows
-
-
-def measure(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> SideSize:
-    """Row count and JSON-serialized byte size of ``df``, by one aggregate that is
-    combined in each task."""
-    r = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))), F.lit(0)).alias("b"),
-    ).first()
-    return SideSize(int(r["n"]), int(r["b"]), int(r["n"]) <= max_rows)
-
-
-def fits_broadcast(df: DataFrame, max_bytes: int = C.BROADCAST_SIZE_BYTES, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    s = measure(df, max_rows)
-    return s.bounded and s.bytes <= max_bytes
-
-
 # ---------------------------------------------------------------------------
 # C4 / C5 / C10 — joins
 # ---------------------------------------------------------------------------
@@ -106,8 +82,9 @@ def fits_broadcast(df: DataFrame, max_bytes: int = C.BROADCAST_SIZE_BYTES, max_r
 
 def broadcast_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
                    max_bytes: int = C.BROADCAST_SIZE_BYTES) -> DataFrame:
-    """C4: join with ``right`` broadcast; a right side whose measured size is over
-    ``max_bytes`` takes the shuffle join, so the job still runs when data grow."""
+    """C4: join with ``right`` broadcast; a right side that its files' footers don't show
+    to be within ``max_bytes`` takes the shuffle join, so the job still runs when data
+    grow, and Spark may broadcast it from its size at run time."""
     if how not in ("inner", "left", "left_semi", "left_anti", "left_outer"):
         raise ValueError(f"broadcast of the right side cannot serve a {how!r} join")
     return left.join(F.broadcast(right) if fits_broadcast(right, max_bytes) else right, on, how)
@@ -115,9 +92,9 @@ def broadcast_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
 
 def auto_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
               max_bytes: int = C.BROADCAST_SIZE_BYTES) -> DataFrame:
-    """Broadcast ``right`` when its measured size is under ``max_bytes``,
+    """Broadcast ``right`` when its files' footers show it to be within ``max_bytes``,
     otherwise a plain shuffle join that AQE may still turn into a broadcast from
-    the measured shuffle size at run time."""
+    the shuffle's size at run time."""
     if how in ("inner", "left", "left_outer", "left_semi", "left_anti") and fits_broadcast(right, max_bytes):
         return left.join(F.broadcast(right), on, how)
     return left.join(right, on, how)
@@ -176,13 +153,43 @@ def top_keys(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     )
 
 
+MOST_TRACKED = 1_000_000  # items a frequent-items summary can hold
+
+
+def frequent_candidates(df: DataFrame, key: str, min_share: float) -> DataFrame:
+    """At most ``2 / min_share`` keys, among them every key with that share of the rows.
+
+    One pass with a frequent-items summary: a bounded number of counters in each task,
+    which drop the rarest keys, and whose errors add up to less than 3.5 / (number of
+    counters) of the rows.  Only the summaries are shuffled, a buffer a task.  NULL is
+    not among the candidates.
+    """
+    tracked = math.ceil(8 / min_share)
+    if tracked > MOST_TRACKED:
+        raise ValueError(f"min_share must be at least {8 / MOST_TRACKED} for a summary")
+    top = F.expr(f"approx_top_k(__key, {math.ceil(2 / min_share) + 1}, {tracked})")
+    summary = df.select(F.col(key).alias("__key")).where("__key IS NOT NULL").agg(top.alias("top"))
+    return summary.select(F.explode("top").alias("one")).select(F.col("one.item").alias(key)).where(F.col(key).isNotNull())
+
+
 def hot_keys(df: DataFrame, key: str, min_share: float = 0.01) -> DataFrame:
     """All keys holding at least ``min_share`` of the rows; at most ``1/min_share``
-    keys can qualify, so the result is bounded by construction."""
+    keys can qualify, so the result is bounded by construction.
+
+    A summary names the candidates (:func:`frequent_candidates`), whose rows are then
+    counted exactly; other keys are neither shuffled nor counted.  Very small shares
+    and key types that a summary doesn't take count all keys.
+    """
     if not min_share > 0:
         raise ValueError("min_share must be above 0")
-    kc = key_counts(df, key)
-    total = kc.agg(F.sum("n")).scalar()
+    kind = df.select(key).schema[0].dataType
+    if 8 / min_share > MOST_TRACKED or not isinstance(kind, SUMMARISED):
+        kc = key_counts(df, key)
+    else:
+        few = frequent_candidates(df, key, min_share).withColumnRenamed(key, "__hot")
+        counted = df.select(key).join(F.broadcast(few), F.col(key) == F.col("__hot"), "left_semi")
+        kc = key_counts(counted, key).union(df.where(F.col(key).isNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (
         kc.where(F.col("n") >= total * F.lit(min_share))
         .orderBy(F.col("n").desc(), F.col(key))
@@ -272,49 +279,49 @@ def salted_agg(df: DataFrame, key, aggs: list[tuple[str, str, str]], salts: int
 
 def salted_join(left: DataFrame, right: DataFrame, on, salts: int = 8, how: str = "inner", salt_by: list[str] | None = None) -> DataFrame:
     """The left side gets a salt (of ``salt_by``, or of its content), the right side is replicated once
-    per salt, and the pair joins on ``(keys, salt)``.  A hot key's left rows are
+    per salt, and the pair joins on ``(keys, salt)`` by a shuffle.  A hot key's left rows are
     spread over ``salts`` partitions.  Right/full outer joins are refused
     (unmatched right rows would repeat once per salt)."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted join cannot produce a {how!r} join")
     keys = [on] if isinstance(on, str) else list(on)
     l = left.withColumn("_salt", salt_of(left, salts, salt_by))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, keys + ["_salt"], how).drop("_salt")
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return l.join(r.hint("merge"), keys + ["_salt"], how).drop("_salt")
 
 
-def split_join(left: DataFrame, right: DataFrame, on: str, hot, how: str = "inner",
-               max_bytes: int = C.BROADCAST_SIZE_BYTES, max_hot_keys: int = 10_000) -> DataFrame:
-    """Rows with a hot key join a broadcast of the right side's hot rows;
-    the rest take the ordinary shuffle join; the two results are unioned.
+def split_join(left: DataFrame, right: DataFrame, on: str, hot, how: str = "inner", salts: int = 16,
+               salt_by: list[str] | None = None, max_hot_keys: int = 10_000) -> DataFrame:
+    """One shuffle join in which the rows of hot keys alone are salted.
 
-    ``hot`` is a list of keys or a one-column DataFrame such as
-    :func:`hot_keys`, whose size is bounded by construction; it is read once
-    and applied as a literal ``IN`` filter on both sides; with more than
-    ``max_hot_keys`` keys nothing is hot and the shuffle join is taken.  The right side's hot rows are broadcast only when
-    their measured size fits.  NULL keys stay on the cold side.  Inner and left
-    joins only; every row lands in exactly one of the two parts.
+    ``hot`` is a list of keys or a one-column DataFrame such as :func:`hot_keys`.  A
+    left row of a hot key gets one of ``salts`` salts (of ``salt_by``, or of its
+    content), all others salt 0; a right row of a hot key is there once per salt.  So
+    each side is read once, a hot key is spread over ``salts`` partitions, and only
+    the right rows of hot keys are repeated.  Rows with a NULL key match nothing and are spread as well.
+
+    Keys beyond the first ``max_hot_keys`` (which bounds the broadcast of the keys) are
+    joined unsalted: that is slower for them, the result is the same.  ``hot`` is read
+    for each side and has to give the same keys both times.
     """
-    if how not in ("inner", "left", "left_outer"):
-        raise ValueError(f"split join supports inner/left, not {how!r}")
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"split join cannot produce a {how!r} join")
     if isinstance(hot, DataFrame):
-        rows = hot.select(hot.columns[0]).distinct().limit(max_hot_keys + 1).collect()
-        if len(rows) > max_hot_keys:
-            return left.join(right, on, how)
-        keys = [r[0] for r in rows if r[0] is not None]
-    else:
-        keys = [k for k in hot if k is not None]
-    if not keys:
-        return left.join(right, on, how)
-    is_hot = F.col(on).isin(keys)
-    l_hot, l_cold = left.where(is_hot), left.where(~is_hot | F.col(on).isNull())
-    r_hot, r_cold = right.where(is_hot), right.where(~is_hot | F.col(on).isNull())
-    if fits_broadcast(r_hot, max_bytes):
-        hot_part = l_hot.join(F.broadcast(r_hot), on, how)
+        few = hot.select(F.col(hot.columns[0]).alias("_hot")).where(F.col("_hot").isNotNull()).distinct().orderBy("_hot").limit(max_hot_keys)
+
+        def marked(df: DataFrame) -> DataFrame:
+            return df.join(F.broadcast(few), F.col(on) == F.col("_hot"), "left").withColumn("_hot", F.col("_hot").isNotNull())
     else:
-        hot_part = l_hot.join(r_hot, on, how)
-    cold_part = l_cold.join(r_cold, on, how)
-    return hot_part.unionByName(cold_part)
+        keys = sorted({k for k in hot if k is not None})[:max_hot_keys]
+
+        def marked(df: DataFrame) -> DataFrame:
+            return df.withColumn("_hot", F.coalesce(F.col(on).isin(keys), F.lit(False)) if keys else F.lit(False))
+
+    own = salt_of(left, salts, salt_by)
+    l = marked(left).withColumn("_salt", F.when(F.col("_hot") | F.col(on).isNull(), own).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    r = marked(right).withColumn("_salt", F.explode(every)).drop("_hot")
+    return l.join(r.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 # ---------------------------------------------------------------------------

@@ -65,12 +65,16 @@ def q_random_generation(spark, sf_dir):
     return G.generate_random(_prompts(spark, sf_dir), _counts(spark, sf_dir), GEN_TOKENS, SEED, N)
 
 
+def _trimmed():
+    return F.regexp_replace("text", "^[^ ]* ", "")
+
+
 def _pairs(spark, sf_dir):
     p = _prompts(spark, sf_dir)
     trimmed = p.select(
         (F.col("prompt_id") * 2).alias("pair_id"),
         F.col("text").alias("text_a"),
-        F.regexp_replace("text", "^[^ ]* ", "").alias("text_b"),
+        _trimmed().alias("text_b"),
     )
     nxt = p.alias("a").join(p.alias("b"), F.col("b.prompt_id") == F.col("a.prompt_id") + 1).select(
         (F.col("a.prompt_id") * 2 + 1).alias("pair_id"), F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b")
@@ -79,8 +83,8 @@ def _pairs(spark, sf_dir):
 
 
 def q_prompt_comparison(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    ctx = pairs.select(F.col("text_a").alias("text")).unionByName(pairs.select(F.col("text_b").alias("text")))
+    pairs, prompts = _pairs(spark, sf_dir), _prompts(spark, sf_dir).select("text")
+    ctx = prompts.unionByName(prompts.select(_trimmed().alias("text")))  # all texts of the pairs
     model = G.context_model(_corpus(spark, sf_dir), G.with_context(ctx, N), N)
     return G.compare_prompts(pairs, model, N)
 

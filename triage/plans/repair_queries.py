@@ -102,7 +102,7 @@ def q_salted_join(spark, sf_dir):
 def q_split_join(spark, sf_dir):
     li = hot_lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "sk")
     hot = R.hot_keys(li, "sk", min_share=0.01)
-    return R.split_join(li, _supplier_dim(spark, sf_dir), "sk", hot)
+    return R.split_join(li, _supplier_dim(spark, sf_dir), "sk", hot, salt_by=["l_orderkey", "l_linenumber"])
 
 
 def q_reconcile(spark, sf_dir):
