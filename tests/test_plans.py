@@ -58,7 +58,7 @@ def test_ranges_share_the_whole_total(spark):
             assert all(h - l == n[context, t] for l, h, t in inside)
 
 
-@pytest.mark.parametrize("generate", [G.generate_greedy, G.generate_random])
+@pytest.mark.parametrize("generate", [G.generate_greedy, G.generate_greedy_by_steps, G.generate_random])
 def test_generation_ends_and_keeps_every_prompt(spark, generate):
     counts = G.ngram_counts(spark.createDataFrame([("x y z w",)], "text string"), 3)
     prompts = spark.createDataFrame([(1, "x y"), (2, "q q"), (3, "x"), (4, None), (5, "y z")], "prompt_id int, text string")
@@ -81,3 +81,34 @@ def test_steps_read_only_wanted_buckets(spark):
     table = G._bucketed(counts, G.new_folder(spark, "test"), 16)
     assert len(table.where(F.col("bucket").isin([3])).inputFiles()) <= len(table.inputFiles())
     assert "PartitionFilters: [isnotnull(bucket" in _plan(table.where(F.col("bucket").isin([3])))
+
+
+def test_jumps_equal_single_steps(spark):
+    """Composed successors give the text that single steps give, whatever the number of steps, and in few jobs."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text")
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", "b a  c", "zz", None, "x  y", " "])], "prompt_id long, text string")
+    prompts = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").selectExpr("item_id + 10 AS prompt_id", "text").union(texts)
+    sc = spark.sparkContext
+    for n, steps in ((3, 50), (2, 7), (3, 1), (3, 0), (1, 4), (4, 3)):
+        corpus = docs.union(spark.createDataFrame([("a b a  c a b a  d x  y  z",)], "text string"))
+        counts = G.ngram_counts(corpus, n)
+        assert sorted(G.generate_greedy(prompts, counts, steps, n).collect()) == sorted(G.generate_greedy_by_steps(prompts, counts, steps, n).collect()), (n, steps)
+    sc.setJobGroup("jumps", "jumps")
+    G.generate_greedy(prompts, G.ngram_counts(docs, 3), 50)
+    sc._jsc.clearJobGroup()
+    written = {sc.statusTracker().getStageInfo(s).name.split(" at ")[0] for j in sc.statusTracker().getJobIdsForGroup("jumps") for s in sc.statusTracker().getJobInfo(j).stageIds if sc.statusTracker().getStageInfo(s)}
+    assert "collect" not in written
+
+
+def test_ngrams_of_odd_texts(spark):
+    texts = ["", " ", "a", "a b", " a  b ", "a b c a b c", None, "a\nb c\td e"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n in (1, 2, 3, 5):
+        want = {}
+        for t in texts:
+            k = t.split(" ") if t is not None else []
+            for i in range(len(k) - n + 1):
+                key = (" ".join(k[i : i + n - 1]), k[i + n - 1])
+                want[key] = want.get(key, 0) + 1
+        assert {(r.context, r.token): r.n for r in G.ngram_counts(df, n).collect()} == want
+        assert {(r.context, r.token): r.n for r in G.count_rows(G.ngram_rows(df, n)).collect()} == want

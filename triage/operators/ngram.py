@@ -6,7 +6,9 @@
 * Probabilities divide by per-context totals obtained by a second aggregate
   and an equi-join (AQE splits a hot context), not by a window over a whole
   context.
-* Generation joins the live prompts, step by step, with a successor table written
+* Greedy generation composes the successor function with itself (jump tables), so the
+  number of joins grows with the square root of the steps.
+* Random generation joins the live prompts, step by step, with a successor table written
   once in the shared checkpoint folder, in buckets by context: a step reads only the
   buckets in which live prompts are.  Live prompts measured as small are broadcast.  Each
   step is written as a table there, which cuts lineage and resets statistics
@@ -15,11 +17,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import new_folder
+from ..sources.sizes import proven_size
 
 SEP = " "  # tokens are split on a single space, so they never contain it
 SMALL_ROWS = 1_000_000  # live prompts up to this number and size are broadcast
@@ -37,18 +42,13 @@ def tokenize(text: Column) -> Column:
     return F.split(text, SEP, -1)
 
 
-def ngram_pattern(n: int) -> str:
-    """Zero-width match at every token start, capturing the next ``n`` tokens.
-
-    ``(?<![^ ])`` holds at the start of the text and after each space, i.e. at
-    the start of every token (empty tokens included); the look-ahead captures
-    ``n`` space-separated tokens, so overlapping n-grams come out in order.
-    """
-    return r"(?<![^ ])(?=(" + SEP.join(["[^ ]*"] * n) + "))"
-
-
-def _ngrams(corpus: DataFrame, n: int, text: str) -> DataFrame:
-    return corpus.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ngram_pattern(n)), 1)).alias("g"))
+def _positions(corpus: DataFrame, n: int, text: str) -> tuple[DataFrame, list[Column]]:
+    """A row for each n-gram, and its ``n`` tokens.  The tokens of a text stay one array,
+    which the rows share, so an n-gram is put together only where it is used."""
+    tokens = corpus.select(tokenize(F.col(text)).alias("k"))
+    first = F.sequence(F.lit(0), F.size("k") - n)
+    at = tokens.where(F.size("k") >= n).select("k", F.explode(first).alias("i"))
+    return at, [F.get("k", F.col("i") + j) for j in range(n)]
 
 
 def _cut(n: int) -> list[Column]:
@@ -57,9 +57,10 @@ def _cut(n: int) -> list[Column]:
 
 
 def ngram_rows(corpus: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
-    """Every n-gram occurrence as ``context, token`` (one regex scan per text,
-    inside whole-stage codegen; no per-position lambda)."""
-    return _ngrams(corpus, n, text).select(*_cut(n))
+    """Every n-gram occurrence as ``context, token`` (one split per text, inside
+    whole-stage codegen; no per-position lambda)."""
+    at, tokens = _positions(corpus, n, text)
+    return at.select(F.concat_ws(SEP, *tokens[:-1]).alias("context"), tokens[-1].alias("token"))
 
 
 def count_rows(rows: DataFrame) -> DataFrame:
@@ -72,7 +73,8 @@ def ngram_counts(corpus: DataFrame, n: int = 3, text: str = "text") -> DataFrame
     Whole n-grams are counted, since tokens hold no space, and cut into context and token
     afterwards: one key to hash and shuffle, and each distinct n-gram is cut once.  Partial
     aggregation collapses frequent n-grams before the shuffle."""
-    counts = _ngrams(corpus, n, text).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    at, tokens = _positions(corpus, n, text)
+    counts = at.select(F.concat_ws(SEP, *tokens).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(*_cut(n), "n")
 
 
@@ -205,14 +207,82 @@ def _generate(prompts, steps, n, key, text, buckets, successors, store):
         return prompts.select(key, F.lit("").alias("generated"), F.lit(0).cast("bigint").alias("n_generated"))
     log = spark.read.schema(T.StructType([*log_schema.fields, T.StructField("step", T.IntegerType())])).parquet(f"{store}/log")
     texts = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", "next"))).alias("_out"))
-    return prompts.select(key).join(texts, key, "left").select(
+    return _texts(prompts, texts, key)
+
+
+def generate_greedy(
+    prompts: DataFrame,
+    counts: DataFrame,
+    steps: int,
+    n: int = 3,
+    key: str = "prompt_id",
+    text: str = "text",
+) -> DataFrame:
+    """append the most probable next token ``steps`` times; a prompt stops
+    at the first context the model has not seen.  ``key`` is unique in ``prompts``.
+
+    The successor of a context is a function, so it is composed with itself: tables of
+    jumps over 1, 2, 4, … contexts, of 128-bit hashes of the contexts.  The contexts
+    on the way of each prompt are first those at multiples of the longest jump, then
+    those half a jump further, and so on; their tokens are looked up at the end.  With
+    jumps up to about the square root of ``steps`` that takes some ten jobs for 50 steps.
+    """
+    spark, store = prompts.sparkSession, new_folder(prompts.sparkSession, "generation")
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{store}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{store}/{name}")
+
+    def ids(context: str | Column, to: str) -> list[Column]:
+        return [F.xxhash64(context).alias(f"{to}1"), F.xxhash64(F.lit(1), context).alias(f"{to}2")]
+
+    moved = F.substring_index(F.concat_ws(SEP, "context", "token"), SEP, -(n - 1)) if n > 1 else F.lit("")
+    best = best_successors(counts).select(F.col("token").alias("next"), *ids("context", "a"), *ids(moved, "b"))
+    longest = max(steps, 1).bit_length() // 2
+    jumps = [saved(best, "jump-0")]
+    for i in range(longest):
+        one = jumps[-1].select("a1", "a2", F.col("b1").alias("m1"), F.col("b2").alias("m2"))
+        two = jumps[-1].select(F.col("a1").alias("m1"), F.col("a2").alias("m2"), "b1", "b2")
+        jumps.append(saved(one.join(two, ["m1", "m2"]).select("a1", "a2", "b1", "b2"), f"jump-{i + 1}"))
+
+    tokens = tokenize(F.col(text))
+    size = F.size(tokens)
+    context = F.when(size >= n - 1, F.array_join(F.slice(tokens, size - (n - 1) + 1, n - 1), SEP))
+    start = prompts.select(F.col(key), F.lit(0).alias("pos"), context.alias("context")).where("context IS NOT NULL")
+    start = start.select(key, "pos", *ids("context", "a"))
+    known = proven_size(prompts.select(key), SMALL_BYTES)
+    small = known is not None and known.rows * steps <= SMALL_ROWS
+    spread = F.broadcast if small else (lambda df: df)
+
+    def further(known: DataFrame, i: int) -> DataFrame:
+        """The contexts ``2 ** i`` further, of the prompts that go on so far."""
+        jump = jumps[i].select("a1", "a2", "b1", "b2")
+        met = jump.join(spread(known.where(F.col("pos") + (1 << i) < steps)), ["a1", "a2"])
+        return met.select(key, (F.col("pos") + (1 << i)).alias("pos"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
+
+    ahead = [start.where(F.lit(steps > 0))]
+    for _ in range((steps - 1) >> longest):
+        ahead.append(further(ahead[-1], longest))
+    way = saved(reduce(DataFrame.unionByName, ahead), "way")
+    for i in reversed(range(longest)):
+        way = saved(way.unionByName(further(way, i)), f"way-{i}")
+    found = saved(jumps[0].join(spread(way), ["a1", "a2"]).select(key, "pos", "next"), "tokens")
+    for i in range(longest + 1):
+        _remove(spark, f"{store}/jump-{i}")
+    texts = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "next"))).alias("_out"))
+    return _texts(prompts, texts, key)
+
+
+def _texts(prompts: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Each prompt's tokens (``_out``, in order) as text, with their number."""
+    return prompts.select(key).join(found, key, "left").select(
         key,
         F.coalesce(F.array_join("_out.next", SEP), F.lit("")).alias("generated"),
         F.coalesce(F.size("_out"), F.lit(0)).cast("bigint").alias("n_generated"),
     )
 
 
-def generate_greedy(
+def generate_greedy_by_steps(
     prompts: DataFrame,
     counts: DataFrame,
     steps: int,
@@ -221,12 +291,10 @@ def generate_greedy(
     text: str = "text",
     buckets: int | None = None,
 ) -> DataFrame:
-    """append the most probable next token ``steps`` times; a prompt stops
-    at the first context the model has not seen.
+    """F7 a step at a time, which reads only the parts of the successor table that hold
+    live prompts' contexts: for few steps over a very large model.
 
-    ``key`` is unique in ``prompts``.  ``buckets`` is the number of parts of the
-    successor table (None: :func:`_parts`); a step reads those that hold a live
-    prompt's context."""
+    ``buckets`` is the number of parts (None: :func:`_parts`)."""
     store, buckets = new_folder(prompts.sparkSession, "generation"), buckets or _parts(prompts.sparkSession)
     best = _bucketed(best_successors(counts).withColumnRenamed("token", "next"), f"{store}/best", buckets)
 
