@@ -27,6 +27,19 @@ def test_wanted_fields_alone_are_extracted(spark):
     assert analyze(logs).columns == RECORD_FIELDS
 
 
+def test_plans_extract_what_they_read(spark):
+    import __spark_entry__ as E
+
+    def regexes(name):
+        return _plan(E.queries()[name](spark, SF_SMALL)).count("regexp_extract")
+
+    whole = regexes("root_causes")
+    for name, most in (("rule_matches", 8), ("normalized_actions", 8), ("routes", 12), ("fix_plans_review", 12), ("recommendations", 12)):
+        assert regexes(name) <= most < whole, (name, regexes(name), whole)
+    rc = root_causes(spark, SF_SMALL, ["diagnostics.missing_path"])
+    assert rc.columns[-1] == "diagnostics" and rc.select("diagnostics.*").columns == ["missing_path"]
+
+
 def test_kinds_are_the_filtered_records(spark):
     logs = synth_logs(spark, SF_SMALL)
     some = analyze(logs, kinds=["OOM", "Skew"]).drop("detected_at")

@@ -82,7 +82,8 @@ def analyze(
     ``df`` needs ``log_path`` and ``text``; columns in ``keep`` are carried along.
     The text column is dropped from the result, so nothing wide reaches a shuffle.
     ``kinds`` keeps the records of those error types, before the analysis;
-    ``fields`` names the record fields wanted, and only what they need is extracted.
+    ``fields`` names the record fields wanted (``diagnostics.<name>`` for some of the
+    diagnostics), and only what they need is extracted.
     """
     keep = [c for c in (keep or []) if c not in ("log_path", text)]
     base = df.select("log_path", *keep, tail_lines(F.col(text), cfg.max_lines).alias("_t"))
@@ -242,7 +243,11 @@ def analyze(
         F.col("classification"),
     ]
     if fields is not None:
-        record = [value for name, value in zip(RECORD_FIELDS[1:], record) if name in fields]
+        some = [name for name in DIAGNOSTIC_FIELDS if f"diagnostics.{name}" in fields]
+        if some and "diagnostics" not in fields:
+            record[RECORD_FIELDS.index("diagnostics") - 1] = F.struct(*[diagnostics[name].alias(name) for name in some]).alias("diagnostics")
+        wanted = {name.split(".")[0] for name in fields}
+        record = [value for name, value in zip(RECORD_FIELDS[1:], record) if name in wanted]
     # The record leaves through a one-row generator: a later filter on any
     # record field (e.g. the confidence gate) stays above it instead of being
     # inlined into every analysis expression below (which multiplies both

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import events as D
 from ..operators.classify import parse_logs
+from ..operators.rootcause import RECORD_FIELDS
 from ..sources.synth import job_catalog, synth_failure_events, synth_logs
 from . import fix_plans as B
 from .oracle import CATALOG_CTE, EVENTS_CTE, LOGS_CTE, PLAN_CTES, RCA_CTES, _q
-from .triage_queries import root_causes
+from .triage_queries import ACTIONS, RENAMES, root_causes
 from .. import config as C
 
 
@@ -32,7 +33,7 @@ def q_job_inference(spark, sf_dir):
 
 
 def _plan_state(spark, sf_dir):
-    p = B.plan_fixes(root_causes(spark, sf_dir), "local")
+    p = B.plan_fixes(root_causes(spark, sf_dir, ACTIONS + RENAMES), "local")
     empty = ~F.col("broadcast") & F.col("repartition").isNull() & F.col("rename_old").isNull()
     return p.select("log_path", empty.alias("plan_empty"))
 
@@ -71,11 +72,11 @@ def q_log_view(spark, sf_dir):
 
 
 def q_reports(spark, sf_dir):
-    return D.render_report(root_causes(spark, sf_dir))
+    return D.render_report(root_causes(spark, sf_dir, [f for f in RECORD_FIELDS if f not in ("detected_at", "classification")]))
 
 
 def q_alerts(spark, sf_dir):
-    return D.alerts(root_causes(spark, sf_dir)).drop("timestamp")
+    return D.alerts(root_causes(spark, sf_dir, ["detected_at", "root_cause", "evidence", *ACTIONS, "confidence", "remediation_hint"])).drop("timestamp")
 
 
 def q_event_dedup(spark, sf_dir):

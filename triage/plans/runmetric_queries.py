@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import runmetrics as E
+from ..session import new_folder
+from ..sources.log_source import write_logs
 from ..sources.tables import read_table
 
 TASKS_SQL = """
@@ -78,7 +80,54 @@ def q_confirm(spark, sf_dir):
     return found.select("app_id", F.col("classification.error_type").alias("error_type"), F.get("suggested_action_types", F.lit(0)).alias("action"), "oom_tasks", "spilled", "skewed", "shuffle_blowup", "confirmed")
 
 
+LINES = 1_000  # events in a file of a derived log
+
+
+def _event_log(spark, sf_dir):
+    """The derived tasks and their stage attempts as rolling event logs; their folder."""
+    tasks = _tasks(spark, sf_dir)
+    task = F.struct(
+        F.lit("SparkListenerTaskEnd").alias("Event"), F.col("stage_id").alias("Stage ID"), F.col("stage_attempt").alias("Stage Attempt ID"),
+        F.struct(F.col("reason").alias("Reason"), F.col("failure_text").alias("Description")).alias("Task End Reason"),
+        F.struct(F.col("task_id").alias("Task ID"), F.lit(1_000).cast("long").alias("Launch Time"), (F.col("duration_ms") + 1_000).alias("Finish Time"), F.col("failed").alias("Failed")).alias("Task Info"),
+        F.struct(
+            F.col("memory_spilled").alias("Memory Bytes Spilled"), F.col("disk_spilled").alias("Disk Bytes Spilled"),
+            F.struct(F.col("shuffle_read").alias("Remote Bytes Read"), F.lit(0).alias("Local Bytes Read")).alias("Shuffle Read Metrics"),
+            F.struct(F.col("shuffle_written").alias("Shuffle Bytes Written")).alias("Shuffle Write Metrics"),
+        ).alias("Task Metrics"),
+    )
+    stages = tasks.groupBy("app_id", "stage_id", "stage_attempt").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("bad"))
+    stage = F.struct(
+        F.lit("SparkListenerStageCompleted").alias("Event"),
+        F.struct(
+            F.col("stage_id").alias("Stage ID"), F.col("stage_attempt").alias("Stage Attempt ID"), F.col("n").alias("Number of Tasks"),
+            F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" tasks failed"))).alias("Failure Reason"),
+        ).alias("Stage Info"),
+    )
+    lines = tasks.select("app_id", F.to_json(task).alias("line")).union(stages.select("app_id", F.to_json(stage)))
+    rolls = F.pmod(F.xxhash64("line"), F.lit(max(1, tasks.count() // LINES))).cast("string")
+    path = F.concat(F.lit("eventlog_v2_"), "app_id", F.lit("/events_"), rolls, F.lit("_"), "app_id")
+    files = lines.groupBy(path.alias("log_path")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("log_text"))
+    folder = new_folder(spark, "event-logs")
+    write_logs(files, folder)
+    return folder
+
+
+def q_stored_run_log(spark, sf_dir):
+    """Event logs as files, read back as tasks."""
+    tasks = E.read_run_log(spark, _event_log(spark, sf_dir))
+    return tasks.select("app_id", "stage_id", "stage_attempt", "task_id", "duration_ms", "failed", "reason", "failure_text", "memory_spilled", "shuffle_read", "shuffle_written")
+
+
+def q_stored_stage_log(spark, sf_dir):
+    """The same logs, read back as stage attempts."""
+    stages = E.read_stage_log(spark, _event_log(spark, sf_dir))
+    return stages.select("app_id", "stage_id", "stage_attempt", "n_tasks", "failure")
+
+
 QUERIES = {
+    "stored_run_log": q_stored_run_log,
+    "stored_stage_log": q_stored_stage_log,
     "stage_retries": q_stage_retries,
     "task_failures": q_task_failures,
     "stragglers": q_stragglers,
@@ -91,6 +140,10 @@ QUERIES = {
 _T = f"WITH tasks AS ({TASKS_SQL})"
 
 ORACLE = {
+    "stored_run_log": f"""{_T} SELECT app_id, CAST(stage_id AS BIGINT) AS stage_id, CAST(stage_attempt AS BIGINT) AS stage_attempt, task_id, duration_ms, failed, reason,
+  failure_text, memory_spilled, shuffle_read, shuffle_written FROM tasks""",
+    "stored_stage_log": f"""{_T} SELECT app_id, CAST(stage_id AS BIGINT) AS stage_id, CAST(stage_attempt AS BIGINT) AS stage_attempt, count(*) AS n_tasks,
+  CASE WHEN count(*) FILTER (failed) > 0 THEN CAST(count(*) FILTER (failed) AS VARCHAR) || ' tasks failed' END AS failure FROM tasks GROUP BY 1, 2, 3""",
     "stage_retries": f"{_T} SELECT app_id, stage_id, max(stage_attempt) AS max_attempt FROM tasks GROUP BY 1, 2 HAVING max(stage_attempt) > 0",
     "task_failures": f"""{_T} SELECT app_id, stage_id, count(*) AS failed_tasks, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons
 FROM tasks WHERE failed GROUP BY 1, 2""",

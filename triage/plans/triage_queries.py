@@ -31,9 +31,14 @@ RCA_COLUMNS = {
 RCA_COMMON = ["log_path", "error_type", "root_cause", "evidence", "actions", "confidence", "remediation_hint"]
 
 
-def root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def root_causes(spark: SparkSession, sf_dir: str, fields: list[str] | None = None) -> DataFrame:
     """The root-cause table of every synthesised log (struct form)."""
-    return analyze(synth_logs(spark, sf_dir), keep=["task_id", "event_id"])
+    return analyze(synth_logs(spark, sf_dir), keep=["task_id", "event_id"], fields=fields)
+
+
+# What the plans of family B read of a record.
+ACTIONS = ["suggested_action_types"]
+RENAMES = ["diagnostics.missing_columns", "diagnostics.extra_columns"]
 
 
 def q_classify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +130,7 @@ from . import fix_plans as B  # noqa: E402
 
 
 def q_normalized_actions(spark, sf_dir):
-    rc = root_causes(spark, sf_dir)
+    rc = root_causes(spark, sf_dir, ACTIONS)
     norm = B.normalize_actions(F.col("suggested_action_types"))
     return rc.select(
         "log_path", F.array_join(norm, ",").alias("actions"), F.size(norm).cast("bigint").alias("n_actions")
@@ -134,7 +139,7 @@ def q_normalized_actions(spark, sf_dir):
 
 def _plan_query(mode):
     def q(spark, sf_dir):
-        p = B.plan_fixes(root_causes(spark, sf_dir), mode)
+        p = B.plan_fixes(root_causes(spark, sf_dir, ACTIONS + RENAMES), mode)
         return p.select(
             "log_path",
             "broadcast",
@@ -148,23 +153,23 @@ def _plan_query(mode):
 
 
 def q_rename_candidates(spark, sf_dir):
-    return B.rename_candidates(root_causes(spark, sf_dir))
+    return B.rename_candidates(root_causes(spark, sf_dir, RENAMES))
 
 
 def q_recommendations(spark, sf_dir):
-    r = B.recommend(root_causes(spark, sf_dir))
+    r = B.recommend(root_causes(spark, sf_dir, [*ACTIONS, *RENAMES, "diagnostics.shuffle_bytes"]))
     return r.select(
         "log_path", "applied", F.array_join("changes", ",").alias("changes"), "n_renames", "fix_confidence"
     )
 
 
 def q_rule_matches(spark, sf_dir):
-    return B.match_rules(root_causes(spark, sf_dir))
+    return B.match_rules(root_causes(spark, sf_dir, ACTIONS))
 
 
 def q_rule_matches_table(spark, sf_dir):
     """B6 with the rules as a table (size-checked broadcast join)."""
-    return B.match_rules(root_causes(spark, sf_dir), B.rules_frame(spark))
+    return B.match_rules(root_causes(spark, sf_dir, ACTIONS), B.rules_frame(spark))
 
 
 def q_gated_root_causes(spark, sf_dir):
@@ -173,7 +178,7 @@ def q_gated_root_causes(spark, sf_dir):
 
 
 def q_routes(spark, sf_dir):
-    return B.route(root_causes(spark, sf_dir)).select("log_path", "action", "next_step")
+    return B.route(root_causes(spark, sf_dir, [*ACTIONS, "confidence"])).select("log_path", "action", "next_step")
 
 
 QUERIES.update(
