@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a Pfair schedule of source blocks.
 
-A source's documents, in hash order, are cut into blocks of equal bytes.  Block
-j of a source with weight w is released at slot floor(j / w) and due by slot
+A source's documents, in hash order, are cut into blocks of equal bytes, at least
+those of the longest document; a document belongs to the block that holds its middle.
+Block j of a source with weight w is released at slot floor(j / w) and due by slot
 ceil((j + 1) / w); one block runs in each slot, of the released blocks the one
 with the earliest deadline.  With weights that sum to 1 every block runs between
 release and deadline, so after any number of slots each source has had its
-weight's share to within less than one block.
+weight's share to within less than one block, and in bytes to within a block and half
+the longest document, by which the ends of blocks are off.
 
 Weights are rounded to whole blocks a period (at least one for each source); a
 schedule of such weights repeats, so one period is scheduled and block j of a
@@ -51,7 +53,8 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """``m_source, m_doc, m_key, m_bytes`` and ``m_block``: prefix sums in hash order, bucket by bucket."""
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("m_bytes")
     items = scratch.saved(docs.select(*_identity(docs), size).groupBy("m_source", "m_doc", "m_key").agg(F.sum("m_bytes").alias("m_bytes")), "mix-items")
-    buckets = max(1, min(items.count() // BUCKET_ROWS, MOST_BUCKETS))
+    rows, longest = items.agg(F.count(F.lit(1)), F.max("m_bytes")).first()
+    buckets, block_bytes = max(1, min(rows // BUCKET_ROWS, MOST_BUCKETS)), max(block_bytes, longest or 0)
     items = items.withColumn("m_bucket", F.pmod(F.xxhash64("m_key"), F.lit(buckets)))
     earlier = Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (
@@ -61,7 +64,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     inside = Window.partitionBy("m_source", "m_bucket").orderBy("m_key", "m_doc").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("m_bytes").over(inside), F.lit(0)) + F.col("b_before")
     joined = items.join(base, F.col("m_source").eqNullSafe(F.col("b_source")) & (F.col("m_bucket") == F.col("b_bucket")))
-    return joined.select("m_source", "m_doc", "m_key", "m_bytes", F.floor(before / block_bytes).alias("m_block"))
+    return joined.withColumn("before", before).select("m_source", "m_doc", "m_key", "m_bytes", F.expr(f"(2 * before + m_bytes) div {2 * block_bytes}").alias("m_block"))
 
 
 def _sources(blocks: DataFrame, weights: dict[str, float] | None, exponent: float) -> DataFrame:
