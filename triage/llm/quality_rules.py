@@ -10,7 +10,8 @@ the most lenient on and testing stops at the first that is not significant
 (fixed sequence); the level is divided by the number of rules and strata
 (Bonferroni).  Each rule gets an equal part of alpha, so that with probability
 1 - delta, in every stratum at once, all rules together reject at most alpha of
-the good documents.  Of the certified cutoffs the one that parts bad from good
+the good documents.  The bound needs independent draws, so labelled documents with
+the same text count once.  Of the certified cutoffs the one that parts bad from good
 best is taken; where none is certified or helps, the rule is not used.
 
 Edge cases: a null or empty text has no words and fails the base; documents
@@ -52,6 +53,7 @@ def measure(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").alias("__text"))
     df = df.select(
         "row",
+        F.xxhash64(text).alias("text_key"),
         F.array_remove(F.split(text, SPACE + "+"), "").alias("words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -60,12 +62,12 @@ def measure(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     n = F.size("words")
     df = df.select(
-        "row", "word_chars", "n_symbols", "n_upper", n.cast("long").alias("n_words"),
+        "row", "text_key", "word_chars", "n_symbols", "n_upper", n.cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform(F.slice("words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))).alias("grams"),
     )
-    base = ["row", "word_chars", "n_symbols", "n_upper", "n_words", "n_lines", "n_dup_lines"]
+    base = ["row", "text_key", "word_chars", "n_symbols", "n_upper", "n_words", "n_lines", "n_dup_lines"]
     packed = F.transform("grams", lambda h, i: h.bitwiseAND(F.lit(high)).bitwiseOR(i.cast("long")))
     df = df.select(*base, "grams", F.sort_array(packed).alias("keys"))
 
@@ -100,7 +102,7 @@ def measure(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     band = sum((F.when(F.col("n_words") >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
     return df.select(
-        "row", *BASE, band.alias("band"),
+        "row", "text_key", *BASE, band.alias("band"),
         share("n_symbols", "word_chars").alias("symbol_share"), share("n_upper", "word_chars").alias("upper_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
@@ -130,8 +132,9 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delt
         for r, name in enumerate(RULES)
     ]
     held = (
-        measured.where(~F.col("base_failed")).select(F.col("row")[doc_id].alias("__doc"), "band", F.array(*levels).alias("levels"))
-        .join(quality, F.col("__doc") == F.col("__id")).select("band", (F.col("quality") == 1).alias("good"), F.explode("levels").alias("l"))
+        measured.where(~F.col("base_failed")).select(F.col("row")[doc_id].alias("__doc"), "band", "text_key", F.array(*levels).alias("levels"))
+        .join(quality, F.col("__doc") == F.col("__id")).groupBy("band", "text_key").agg(F.min("quality").alias("quality"), F.any_value("levels").alias("levels"))
+        .select("band", (F.col("quality") == 1).alias("good"), F.explode("levels").alias("l"))
         .groupBy("band", "l.rule", "l.level").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     )
     spark = measured.sparkSession
