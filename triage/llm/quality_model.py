@@ -11,10 +11,12 @@ The network (one hidden layer) is fitted on the driver on at most
 ``sample_docs`` labelled documents (the first in the order of a hash of their
 ``doc_id``); it never sees rows whose crc32(doc_id) mod 4 is 2.  A fifth of the
 sample is held back to choose the temperature by which the logits are divided,
-so that scores are calibrated probabilities.  Scoring covers all whole texts.
+so that scores are calibrated probabilities; with so few labels that the fifth or the
+rest lacks one of them, all rows serve both ends and the temperature is 1 at least.
+Weights decay the more, the fewer labels there are.  Scoring covers all whole texts.
 
 Edge cases: null and empty texts are scored by a vector of zeros; of several
-labels of a document the lowest counts; if the labels are all equal, or none is
+labels of a document the lowest counts, of several texts that of the lowest hash; if the labels are all equal, or none is
 there, every score is their share of 1 with ten observations added of which nine
 are 1; an empty table gives no rows.  Other columns can have any name.
 """
@@ -133,11 +135,14 @@ class Network:
         rng = np.random.default_rng(seed)
         self.mean, self.scale = features.mean(axis=0), features.std(axis=0) + 1e-3
         x, y = self._standard(features), labels.astype(np.float64)
-        held = np.arange(len(y)) % 5 == 0
+        held, decay = np.arange(len(y)) % 5 == 0, max(1e-4, 1 / len(y))
+        few = len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2
+        if few:
+            held[:] = True
         a, b = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), rng.normal(0, 0.1, HIDDEN)
         params = [a, np.zeros(HIDDEN), b, np.array([np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        train, step = np.flatnonzero(~held), 0
+        train, step = np.flatnonzero(~held | few), 0
         self.params, self.temperature = params, 1.0
         best, kept = np.inf, [p.copy() for p in params]
         for _ in range(epochs):
@@ -148,7 +153,7 @@ class Network:
                 units = np.tanh(xs @ params[0] + params[1])
                 error = (1 / (1 + np.exp(-(units @ params[2] + params[3][0]))) - y[rows]) / len(rows)
                 back = error[:, None] * params[2] * (1 - units**2)
-                grads = [xs.T @ back + 1e-4 * params[0], back.sum(axis=0), units.T @ error + 1e-4 * params[2], np.array([error.sum()])]
+                grads = [xs.T @ back + decay * params[0], back.sum(axis=0), units.T @ error + decay * params[2], np.array([error.sum()])]
                 for p, g, m, v in zip(params, grads, first, second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
@@ -158,7 +163,7 @@ class Network:
                 best, kept = loss, [p.copy() for p in params]
         self.params = kept
         logits = self.logits(features[held])
-        self.temperature = min(np.exp(np.linspace(-1.5, 2.5, 81)), key=lambda t: self._loss(logits, y[held], t))
+        self.temperature = min(np.exp(np.linspace(0 if few else -1.5, 2.5, 81)), key=lambda t: self._loss(logits, y[held], t))
 
     def _standard(self, features: np.ndarray) -> np.ndarray:
         return np.clip((features - self.mean) / self.scale, -8, 8).astype(np.float64)
@@ -202,10 +207,12 @@ def _train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample_docs:
             yield pa.RecordBatch.from_arrays([batch["__quality"], pa.array(list(found), pa.list_(pa.float32()))], names=["quality", "features"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text")
-    found = rows.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("text", "__quality").mapInArrow(features, "quality int, features array<float>").toArrow()
+    known = rows.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+    once = known.groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("__quality").alias("__quality"))
+    found = once.select("text", "__quality").mapInArrow(features, "quality int, features array<float>").toArrow()
     y = found["quality"].to_numpy() if found.num_rows else np.zeros(0, int)
     good = int((y == 1).sum())
-    if min(good, len(y) - good) < 10:
+    if min(good, len(y) - good) == 0:
         return Constant((good + 9) / (len(y) + 10))
     x = found["features"].combine_chunks()
     x = x.values.to_numpy().reshape(len(y), -1)
