@@ -143,6 +143,23 @@ def test_pfair_windows_and_deviation(spark):
         assert slots.setdefault(r.slot, (r.m_source, r.block)) == (r.m_source, r.block)
 
 
+def test_shares_in_bytes_after_every_slot(spark):
+    random.seed(8)
+    rows = [(k, "x" * random.choice([3, 40, 400, 900]), "hot" if k % 3 else f"s{k % 4}") for k in range(1500)]
+    rows += [(5000, "y" * 4000, "hot"), (5001, "z" * 3000, "s0"), (5002, None, "s1")]  # longer than the block asked for
+    weights = {"hot": 0.5, "s0": 0.3, "s1": 0.1, "s3": 0.1}
+    found = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_bytes=512).where("on_target").collect()
+    total, by_slot = Counter(), defaultdict(list)
+    for r in found:
+        by_slot[r.slot].append(r)
+    for slot in range(max(by_slot) + 1):
+        for r in by_slot[slot]:
+            total[r.m_source] += r.m_bytes
+        for source, w in weights.items():
+            if any(r.m_source == source and r.slot > slot for r in found):
+                assert abs(total[source] - w * (slot + 1) * 4000) < 4000 + 4000 / 2, (slot, source)
+
+
 def test_mix_keeps_every_row_of_a_hot_source(spark, odd):
     text = "some words of a text " * 10
     rows = [(k, f"{k} {text}", "hot" if k % 3 else None if k % 2 else f"s{k % 20}") for k in range(600)]
@@ -165,6 +182,77 @@ def test_binomial_tail_is_exact(spark):
         assert p == pytest.approx(exact, rel=1e-9)
 
 
+def test_certified_cutoffs_equal_plain_python(spark):
+    random.seed(9)
+    cut, rules, bands = quality_rules.CUTOFFS, quality_rules.RULES, quality_rules.BANDS
+    docs, marks = [], []
+    for k in range(3000):
+        good = random.random() < 0.8
+        shares = [round(random.choice([0.0, 0.01, 0.045] if good else [0.0, 0.11, 0.35, 0.6]), 3) for _ in rules]
+        docs.append((k, k % 2, k % 2600, *shares, False))  # some texts occur twice
+        marks.append((k, int(good)))
+    by_text = {}
+    for d, (_, q) in zip(docs, marks):
+        key = d[1], d[2]
+        by_text[key] = (min(q, by_text[key][0]), by_text[key][1]) if key in by_text else (q, d[3:7])
+    docs = [(d[0], d[1], d[2], *by_text[d[1], d[2]][1], d[-1]) for d in docs]  # equal texts have equal shares
+    measured = spark.createDataFrame(docs, "doc_id long, band int, text_key long, " + ", ".join(f"{r} double" for r in rules) + ", base_failed boolean")
+    measured = measured.withColumn("row", F.struct("doc_id"))
+    got = {r.band: r for r in quality_rules.certified_cutoffs(measured, spark.createDataFrame(marks, "doc_id long, quality int"), 0.04, 0.05).collect()}
+    for band in (0, 1):
+        for k, rule in enumerate(rules):
+            texts = [(q, s[k]) for (b, _), (q, s) in by_text.items() if b == band]
+            n, bad = sum(q for q, _ in texts), sum(1 - q for q, _ in texts)
+            best, worst = None, 0.0
+            for c in cut:
+                rejected, caught = sum(q for q, s in texts if s > c), sum(1 - q for q, s in texts if s > c)
+                rate = 0.04 / len(rules)
+                p = 1.0 if rejected > n * rate else sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(rejected + 1))
+                worst = max(worst, p)
+                gain = caught / bad - rejected / n
+                if worst <= 0.05 / (len(rules) * len(bands)) and gain > 0 and (best is None or gain > best[0]):
+                    best = gain, c
+            assert (got[band][f"max_{rule}"] if band in got else None) == (best[1] if best else None), (band, rule)
+    assert any(got[b][f"max_{r}"] is not None for b in got for r in rules)
+
+
+def test_forward_backward_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    lengths, labels = np.array([5, 1, 3]), 3
+    scores, transitions = rng.normal(size=(3, 5, labels)), rng.normal(size=(labels, labels))
+    mask = np.arange(5) < lengths[:, None]
+    marginal, expected = langid.forward_backward(scores, mask, transitions)
+    pairs = np.zeros((labels, labels))
+    for k, n in enumerate(lengths):
+        ways = list(itertools.product(range(labels), repeat=int(n)))
+        weight = np.exp([sum(scores[k, t, w[t]] for t in range(n)) + sum(transitions[w[t - 1], w[t]] for t in range(1, n)) for w in ways])
+        weight /= weight.sum()
+        for t in range(n):
+            assert marginal[k, t] == pytest.approx([sum(p for p, w in zip(weight, ways) if w[t] == y) for y in range(labels)])
+        for p, w in zip(weight, ways):
+            for t in range(1, n):
+                pairs[w[t - 1], w[t]] += p
+    assert expected == pytest.approx(pairs)
+    for stretch in (1, 2, 3, 5, 9):  # the same whatever the stretches
+        for low, rows, on, found in langid.chain_marginals(lambda r, a, b: scores[r, a:b], lengths, transitions, stretch):
+            assert found[on] == pytest.approx(marginal[rows, low : low + on.shape[1]][on])
+
+
+def test_few_labels_still_fit_a_network_and_scores_are_calibrated():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 12)).astype(np.float32)
+    chance = 1 / (1 + np.exp(-(1.5 * x[:, 0] - x[:, 1])))
+    y = rng.random(4000) < chance
+    p = quality_model.Network(x[:3000], y[:3000])(x[3000:])
+    bins = np.digitize(p, [0.2, 0.4, 0.6, 0.8])
+    for b in range(5):
+        assert abs(p[bins == b].mean() - y[3000:][bins == b].mean()) < 0.12
+    few = quality_model.Network(x[:9], np.array([True] * 8 + [False]))
+    assert few.temperature >= 1 and np.isfinite(few(x[:50])).all() and np.ptp(few(x[:50])) > 0
+
+
 def test_rule_base_counts(spark):
     docs = read_table(spark, SMALL, "documents")
     got = {r.doc_id: r for r in quality_rules.judge(docs, read_table(spark, SMALL, "labels"), ["doc_id"]).select("row.doc_id", *quality_rules.BASE, "base_failed", "kept").collect()}

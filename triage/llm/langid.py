@@ -10,12 +10,15 @@ not, gets the language with the largest sum over its words with letters, and
 that sum's share as ``score``.
 
 The weights are fitted on the driver on a bounded sample: at most
-``sample_docs`` training documents for each language (the first in hash order)
-with at most two stretches of 48 words each.  Lexicon counts and predictions
-cover all whole texts; a text is a chain of stretches of up to 128 words.
+``sample_docs`` training documents for each language (the first in hash order), whole
+unless they have over ``sample_words`` words, of which evenly spread stretches are
+taken then.  Their chains are stretches of 128 words.  Lexicon counts and predictions
+cover all whole texts, and the chain of a text to be labelled runs from its first word
+to its last: the messages are carried from stretch to stretch.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows
-with a null or empty ``lang`` are not learned from; if nothing can be learned
+with a null or empty ``lang`` are not learned from, rows that repeat ``doc_id`` and
+``lang`` once, by the text of lowest hash; if nothing can be learned
 all are ``und``; an empty table gives no rows.
 """
 
@@ -34,8 +37,8 @@ from .words import Words, mix, slices, words_of
 
 NGRAM_BITS, LEXICON_BITS = 17, 16
 NGRAMS, LEXICON = 1 << NGRAM_BITS, 1 << LEXICON_BITS
-STRETCH, SAMPLE_WORDS = 128, 48
-SAMPLE_DOCS = 400
+FIT_STRETCH, STRETCH, CELLS = 128, 4_096, 1 << 18
+SAMPLE_DOCS, SAMPLE_WORDS = 400, 65_536
 
 
 def _lexicon_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -96,45 +99,97 @@ def _lexicon(training: DataFrame, langs: list[str]) -> np.ndarray:
     return (np.log(share) - np.log(1 / len(langs))) * (seen / (seen + 5))
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two stretches of each document, from places given by its hash."""
-    for batch in slices(batches):
-        words = words_of(batch["text"])
-        lang, out = batch["lang"].to_pylist(), []
-        for k in range(batch.num_rows):
-            low, high = words.first[k], words.first[k + 1]
-            for part in np.array_split(np.arange(low, high), 2):
-                if len(part):
-                    start = part[0] + int(words.hashes[part[0]] % np.uint64(max(1, len(part) - SAMPLE_WORDS + 1)))
-                    last = min(start + SAMPLE_WORDS, part[-1] + 1) - 1
+def _sample(sample_words: int):
+    """Stretches of each document: all of it, or evenly spread ones up to ``sample_words`` words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = words_of(batch["text"])
+            lang, out = batch["lang"].to_pylist(), []
+            for k in range(batch.num_rows):
+                starts = np.arange(words.first[k], words.first[k + 1], FIT_STRETCH)
+                most = max(1, sample_words // FIT_STRETCH)
+                for start in starts if len(starts) <= most else starts[np.linspace(0, len(starts) - 1, most).astype(int)]:
+                    last = min(start + FIT_STRETCH, words.first[k + 1]) - 1
                     out.append({"lang": lang[k], "text": bytes(words.data[words.starts[start] : words.ends[last]]).decode()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), ("text", pa.string())]))
+
+    return cut
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def forward_messages(psi: np.ndarray, step: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Label shares of every word given the words up to it, for chains x words x labels; ``start`` are those of the word before."""
+    forward = np.empty_like(psi)
+    forward[:, 0] = _normal(psi[:, 0] if start is None else (start @ step) * psi[:, 0])
+    for t in range(1, psi.shape[1]):
+        forward[:, t] = _normal((forward[:, t - 1] @ step) * psi[:, t])
+    return forward
+
+
+def backward_messages(psi: np.ndarray, mask: np.ndarray, step: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+    """What the words after each say about its label; ``end``: about the last one's."""
+    backward = np.ones_like(psi)
+    if end is not None:
+        backward[:, -1] = end
+    for t in range(psi.shape[1] - 2, -1, -1):
+        b = _normal((backward[:, t + 1] * psi[:, t + 1]) @ step.T)
+        backward[:, t] = np.where(mask[:, t + 1, None], b, 1.0)
+    return backward
+
+
+def _factors(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(transitions - transitions.max())
 
 
 def forward_backward(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of every word and expected transitions, for chains x words x labels of scores."""
-    n, length, labels = scores.shape
-    psi = np.exp(scores - scores.max(axis=2, keepdims=True))
-    step = np.exp(transitions - transitions.max())
-    forward, backward = np.empty_like(psi), np.ones_like(psi)
-    forward[:, 0] = psi[:, 0] / psi[:, 0].sum(axis=1, keepdims=True)
-    for t in range(1, length):
-        a = (forward[:, t - 1] @ step) * psi[:, t]
-        forward[:, t] = a / a.sum(axis=1, keepdims=True)
-    for t in range(length - 2, -1, -1):
-        b = (backward[:, t + 1] * psi[:, t + 1]) @ step.T
-        b /= b.sum(axis=1, keepdims=True)
-        backward[:, t] = np.where(mask[:, t + 1, None], b, 1.0)
-    marginal = forward * backward
-    marginal /= marginal.sum(axis=2, keepdims=True)
-    expected = np.zeros((labels, labels))
-    for t in range(length - 1):
+    psi, step = _factors(scores, transitions)
+    forward, backward = forward_messages(psi, step), backward_messages(psi, mask, step)
+    marginal = _normal(forward * backward)
+    expected = np.zeros(step.shape)
+    for t in range(psi.shape[1] - 1):
         rows = mask[:, t + 1]
         pair = forward[rows, t][:, :, None] * step * (psi[rows, t + 1] * backward[rows, t + 1])[:, None, :]
         expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return marginal, expected
 
 
+def chain_marginals(scores_of, lengths: np.ndarray, transitions: np.ndarray, stretch: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Label probabilities of whole chains, stretch by stretch from the last: its first word,
+    the chains that reach it, their words there (mask) and the probabilities.
+
+    ``scores_of(rows, low, high)`` gives the scores of these words.  A first pass keeps
+    only the forward messages between stretches.
+    """
+    def part(low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(lengths > low)
+        high = min(low + stretch, int(lengths[rows].max()))
+        mask = np.arange(low, high) < lengths[rows][:, None]
+        psi, step = _factors(scores_of(rows, low, high), transitions)
+        return rows, mask, psi, step
+
+    lows = list(range(0, int(lengths.max(initial=0)), stretch))
+    before: list[np.ndarray | None] = [None]
+    for low in lows[:-1]:
+        rows, mask, psi, step = part(low)
+        message = np.full((len(lengths), psi.shape[2]), 1 / psi.shape[2])
+        message[rows] = forward_messages(psi, step, None if before[-1] is None else before[-1][rows])[:, -1]
+        before.append(message)  # of chains that end before, it is not used
+    after = None
+    for low, start in zip(reversed(lows), reversed(before)):
+        rows, mask, psi, step = part(low)
+        ahead = np.ones((len(lengths), psi.shape[2])) if after is None else after
+        forward = forward_messages(psi, step, None if start is None else start[rows])
+        backward = backward_messages(psi, mask, step, ahead[rows])
+        yield low, rows, mask, _normal(forward * backward)
+        after = np.ones((len(lengths), psi.shape[2]))
+        after[rows] = _normal((backward[:, 0] * psi[:, 0]) @ step.T)
+
+
 class Field:
     """The conditional random field: n-gram weights, lexicon weights, transitions."""
 
@@ -205,20 +260,24 @@ class Field:
         grams, sizes, kind, of = self._types(words)
         emission = self._scores(grams, sizes, self.lexicon[_lexicon_buckets(lower.hashes[of])])
         per_text = np.diff(words.first)
-        stretches = -(-per_text // STRETCH)
-        text = np.repeat(np.arange(len(texts)), stretches)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-        first = words.first[:-1][text] + nth * STRETCH
-        length = np.minimum(words.first[1:][text] - first, STRETCH)
         lettered = np.logical_or.reduceat(LETTER[words.data], words.starts) if len(words.starts) else np.zeros(0, bool)
-        order = np.argsort(length, kind="stable")
-        for rows in np.array_split(order, max(1, len(order) // 2000)):
-            mask = np.arange(length[rows].max()) < length[rows][:, None]
-            at = np.where(mask, first[rows][:, None] + np.arange(mask.shape[1]), 0)
-            scores = np.where(mask[:, :, None], emission[kind[at]], 0.0)
-            marginal, _ = forward_backward(scores, mask, self.transitions)
-            marginal[~(mask & lettered[at])] = 0
-            np.add.at(out, text[rows], marginal.sum(axis=1))
+        order = np.argsort(per_text, kind="stable")
+        order = order[per_text[order] > 0]
+        cells, group = 0, []
+        for k, text in enumerate(order):  # texts of like length, a bounded number of words at a time
+            group.append(text)
+            cells = len(group) * min(int(per_text[text]), STRETCH)
+            if k + 1 < len(order) and cells + min(int(per_text[order[k + 1]]), STRETCH) <= CELLS:
+                continue
+            own, group = np.array(group), []
+            first, lengths = words.first[:-1][own], per_text[own]
+
+            def places(rows: np.ndarray, low: int, high: int) -> np.ndarray:
+                return np.minimum(first[rows][:, None] + np.arange(low, high), (first + lengths - 1)[rows][:, None])
+
+            for low, rows, mask, marginal in chain_marginals(lambda rows, low, high: emission[kind[places(rows, low, high)]], lengths, self.transitions):
+                marginal[~(mask & lettered[places(rows, low, low + mask.shape[1])])] = 0
+                out[own[rows]] += marginal.sum(axis=1)
         return out
 
 
@@ -230,7 +289,7 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Field | None:
     """The field learned from documents with a language outside fold 0 of 5."""
     training = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(
         (fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
@@ -243,7 +302,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
         some = training.where(F.col("lang") == lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
         chosen = some if chosen is None else chosen.union(some)
     picked = training.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
-    rows = picked.select("text", "lang").mapInArrow(_sample, "lang string, text string").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+    once = picked.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.select("text", "lang").mapInArrow(_sample(sample_words), "lang string, text string").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     field = Field(langs, lexicon)
     if rows.num_rows:
         index = {lang: k for k, lang in enumerate(langs)}
@@ -251,9 +311,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
     return field
 
 
-def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document."""
-    field = learn(docs, sample_docs)
+    field = learn(docs, sample_docs, sample_words)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=1 << 21):
