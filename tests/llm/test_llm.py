@@ -306,7 +306,10 @@ def test_each_text_of_a_repeated_id_counts(spark):
     assert left == Counter([(3, a, "x"), (5, b, "y"), (5, b, "y"), (7, c, "x"), (9, None, "x"), (None, a, "x")])
 
 
-def test_katz_equals_brute_force_and_sums_to_one(spark):
+@pytest.mark.parametrize("block, word_part, pair_part", [(katz.BLOCK_TOKENS, katz.WORD_PART_BYTES, katz.PAIR_PART_TOKENS), (4_000, 40_000, 3_000)])
+def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, block, word_part, pair_part):
+    for name, value in (("BLOCK_TOKENS", block), ("WORD_PART_BYTES", word_part), ("PAIR_PART_TOKENS", pair_part)):
+        monkeypatch.setattr(katz, name, value)  # the second time several blocks, parts and spread contexts
     docs = read_table(spark, SMALL, "documents")
     got = {r.doc_id: r for r in katz.katz_scores(docs).collect()}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -429,12 +432,124 @@ def test_best_fit_rounds_equal_sequential_best_fit():
         assert sum(map(len, used.values())) == len(lengths) and len(used) == len(gaps)
 
 
-def test_pipeline_stages(spark):
+PIPELINE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pipeline_rows():
+    random.seed(12)
+    vocabulary = [f"{a}{b}" for a in ("re", "the", "on", "in", "mo", "ta") for b in ("", "s", "nd", "ly", "tion", "er", "m", "ku")]
+    rows = []
+    for k in range(260):
+        words = [random.choice(vocabulary) + random.choice(["", "", str(random.randrange(300))]) for _ in range(random.choice([60, 150, 400]))]
+        if k % 9 == 0:
+            words = words[:5] * 40  # repeated windows
+        rows.append((k, " ".join(words), "en", "hot" if k % 3 else None if k % 2 else f"s{k % 5}"))
+    for k in range(260, 330):  # exact and near copies
+        words = rows[random.randrange(260)][1].split()
+        if k % 2:
+            words[random.randrange(len(words))] = "changed"
+        rows.append((k, " ".join(words), "en", "hot"))
+    rows += [rows[7], rows[7], (11, rows[40][1], "en", "s1"), (13, " ".join(f"only{i}" for i in range(90)), "en", "s2"), (400, None, "en", "s2"), (401, "", None, None), (402, "few words here", "en", "hot"),
+             (None, " ".join(f"nameless{i}" for i in range(70)), "en", "s1"), (403, " ".join(f"long{i % 977} {i}" for i in range(3000)), "en", "hot")]
+    return [(*r, 5) for r in rows]
+
+
+def base_passes(text):
+    w = WORD.findall(text or "")
+    c, met = Counter(zip(w, w[1:], w[2:])), set()
+    for k in range(len(w) - 2):
+        if c[tuple(w[k : k + 3])] > 1:
+            met |= {k, k + 1, k + 2}
+    return len(w) >= 50 and 100 * len(met) <= 50 * len(w)
+
+
+def one_of_each_group(rows):
+    """Rows of the smallest id of each group of texts; an id with several texts stands behind all others with each of them."""
+    texts = defaultdict(set)
+    for r in rows:
+        texts[r[0]].add(r[1])
+
+    def node(r):
+        return (1, r[0], r[1]) if len(texts[r[0]]) > 1 else (0, r[0], "")
+
+    named = [r for r in rows if r[0] is not None]
+    sets, up = {}, {}
+    for r in named:
+        w = WORD.findall((r[1] or "").lower())
+        sets[node(r)], up[node(r)] = (set(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else {tuple(w)} - {()}), node(r)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    nodes = sorted(sets)
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return [r for r in rows if r[0] is None or root(node(r)) == node(r)]
+
+
+def pieces_of(rows):
+    whole, out = Tokenizer.from_file(WORDS), Counter()
+    for doc_id, text, *_ in rows:
+        ids = whole.encode(text or "", add_special_tokens=False).ids + [0]
+        for nth, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            out[(doc_id, nth, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    return out
+
+
+def check_packed(packed, rows):
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == pieces_of(rows)
+    used = defaultdict(list)
+    for r in packed:
+        used[r.sequence_id].append((r.offset, r.length))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    gaps = []
+    for r in sorted(packed, key=lambda r: -r.length):  # best fit decreasing, one by one
+        fits = [g for g in gaps if g >= r.length]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else 2048) - r.length)
+    assert len(used) == len(gaps)
+
+
+def test_pipeline_stages_equal_plain_python(spark, tmp_path):
     import corpus_pipeline
 
-    docs = read_table(spark, SMALL, "documents")
-    packed = corpus_pipeline.run(spark, SMALL)
-    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and packed.count() > 0
-    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, SMALL).collect()}
-    assert kept == {r.doc_id for r in near_dedup.near_copies(docs).where("kept").collect()}
-    assert corpus_pipeline.mix_sources(spark, docs, SMALL).columns == docs.columns
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near copies", "mixing", "packing"]
+    rows = pipeline_rows()
+    docs = spark.createDataFrame(rows, PIPELINE_DOCS)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(k, int(k % 9 != 0)) for k in range(0, 260, 2)]
+    spark.createDataFrame([(*m, 0) for m in marks], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = str(tmp_path)
+    docs = read_table(spark, folder, "documents")
+
+    def bag(df):
+        assert df.columns == docs.columns
+        return Counter(map(tuple, df.collect()))
+
+    scored = quality_model.score(docs, read_table(spark, folder, "labels"), docs.columns).collect()
+    assert Counter(tuple(r.row) for r in scored) == Counter(rows)
+    good = [tuple(r.row) for r in scored if r.score >= 0.7]
+    assert 0 < len(good) < len(rows)
+    assert bag(corpus_pipeline.classify_quality(spark, docs, folder)) == Counter(good)
+    # too few labels to certify a cutoff: the base alone decides
+    assert bag(corpus_pipeline.apply_rules(spark, docs, folder)) == Counter(r for r in rows if base_passes(r[1]))
+    assert bag(corpus_pipeline.drop_copies(spark, docs, folder)) == Counter(one_of_each_group(rows))
+    assert bag(corpus_pipeline.mix_sources(spark, docs, folder)) == Counter(rows)
+    check_packed(corpus_pipeline.pack_sequences(spark, docs, folder).collect(), rows)
+
+    left = one_of_each_group([r for r in good if base_passes(r[1])])
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    check_packed(packed.collect(), left)

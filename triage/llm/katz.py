@@ -15,12 +15,13 @@ million tokens as numbers of its own words.
 1. Blocks send their words (64-bit hashes) and counts to vocabulary partitions by
    hash range, which sum them, number the words, and reply in the same order.
 2. Blocks send their distinct pairs and counts to pair partitions by context
-   (contexts with over a thousandth of all tokens are spread by pair), which sum
+   (contexts with over an eighth of a partition's tokens are spread by pair, though
+   no more than the 100,000 most frequent ones), which sum
    them, write the tables of the model and reply with counts and with the context's
    sums where a pair was never met.
 3. Blocks put the replies to their tokens and add up each document.
 All statistics cover all training documents and grow with them; only totals,
-counts of counts and the at most thousand spread contexts pass the driver.
+counts of counts and the sums of the spread contexts pass the driver.
 
 Edge cases: null and empty texts have one token, the end; an empty training set
 gives the unknown word probability 1; null ``doc_id``s hash as empty text and
@@ -46,7 +47,7 @@ from .words import mix, slices, words_of
 MOST_DISCOUNTED = 5
 BLOCK_TOKENS = 2_500_000
 WORD_PART_BYTES, PAIR_PART_TOKENS = 16 << 20, 2_000_000
-SPREAD_SHARE = 0.001
+MOST_SPREAD = 100_000
 END = np.uint64(1)
 UNKNOWN, START, FIRST_WORD = 0, 1, 2
 
@@ -110,7 +111,7 @@ def _blocks(parts: int):
             rank[by_count] = np.arange(len(words))
             yield _row(0, block, 0, ids, out, sizes, _pack(rank[local]), _pack(by_count))
             bounds = np.searchsorted(_part_of(words, parts), np.arange(parts + 1))
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
                 some = slice(bounds[p], bounds[p + 1])
                 yield _row(1, block, p, words[some], _pack(trained[some]))
 
@@ -194,7 +195,7 @@ class Block:
         self.v, self.w = code // len(self.count), code % len(self.count)
         asked = np.flatnonzero(self.number[self.v] != UNKNOWN)
         v, w = self.v[asked], self.w[asked]
-        self.spread = self.count > SPREAD_SHARE * unigrams.tokens
+        self.spread = self.count > max(PAIR_PART_TOKENS // 8, unigrams.tokens // MOST_SPREAD)
         key = mix(self.number[v].astype(np.uint64)) + np.where(self.spread[v], self.number[w], 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         part = (mix(key) % np.uint64(pair_parts)).astype(np.int64)
         order = np.argsort(part * len(self.count) + v, kind="stable")
