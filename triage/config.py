@@ -36,7 +36,6 @@ NO_EXCEPTION_LINE = "No explicit exception line found"
 
 # Extraction patterns used by the analyzers (case-insensitive unless noted).
 SHUFFLE_BYTES = r"shuffle[_ ]?bytes[^0-9]*([0-9]+)"
-SHUFFLE_BYTES_COMMAS = r"Estimated shuffle_bytes ~\s*([0-9,]+)"
 MISSING_COLUMNS = r"missing columns[:\s]*\[?([^\]]+)\]?"
 EXTRA_COLUMNS = r"extra columns[:\s]*\[?([^\]]+)\]?"
 COLUMN_STRIP_CHARS = " '\""
