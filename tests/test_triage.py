@@ -161,3 +161,27 @@ def test_no_python_in_plans(spark):
     for name in ["root_causes", "recommendations", "event_outcomes", "salted_agg", "ngram_counts"]:
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_one_pass_finds_what_single_searches_find(spark):
+    """4,000 made-up texts of pieces of the signatures, whole and broken, against Spark's search for each one."""
+    import random
+
+    from triage.config import SIGNATURES, TriageConfig
+    from triage.functions.text import ci
+    from triage.operators.classify import hits_pattern, match_patterns, plain_alternatives
+
+    random.seed(11)
+    parts = [a for p in SIGNATURES.values() for a in plain_alternatives(p)]
+    bits = parts + [p[:-1] for p in parts] + [p.upper() for p in parts] + ["\n", " ", "x", "java", "Auth", "full g", "c", "40", "3", "ſkew", "sKew", "overhead", "\u212a", "javaXlang.OutOfMemoryError", "日本"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randrange(7))) for _ in range(3998)] + [None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, log_text string")
+    custom = TriageConfig(signatures={**SIGNATURES, "Lines": r"^x.*c$", "Group": r"(a|b)c"})
+    for cfg in (TriageConfig(), custom, TriageConfig(strict=True)):
+        got = {r.id: r.matched_patterns for r in match_patterns(df, cfg=cfg).collect()}
+        plain = df.select("id", *[F.col("log_text").rlike(ci(p, cfg.strict)).alias(n) for n, p in cfg.signatures.items()])
+        assert got == {r.id: [n for n in cfg.signatures if r[n]] for r in plain.collect()}
+    plan = match_patterns(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "RLIKE" in plan and "log_text#" in plan
+    assert plain_alternatives(r"a.*b|c") is None and plain_alternatives("(a b|c.d)") == ["a b", "c.d"]
+    assert hits_pattern(["Auth", "Authentication", "403"]).count("Auth") == 1

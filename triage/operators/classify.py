@@ -1,12 +1,15 @@
 """A3–A7 — signature matching, priority classification, confidence, excerpt.
 
-Per log everything is one narrow projection: no shuffle, no Python.  Regex flags
+Per log everything is one narrow projection: no shuffle, no Python.  One pass over a
+text finds the places of all signatures (:func:`match_patterns`).  Regex flags
 are computed in their own projection so Catalyst keeps each one evaluated once
 (CollapseProject never duplicates a non-cheap expression).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from .. import config as C
 from ..config import DEFAULT, TriageConfig
 from ..functions.text import ci, first_line_matching, tail_lines
 
+PLAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9 _.:\-]*")
 CLASSIFICATION_FIELDS = ["error_type", "error_message", "matched_patterns", "confidence"]
 
 
@@ -21,14 +25,49 @@ def _flag(i: int) -> str:
     return f"_sig{i}"
 
 
+def plain_alternatives(pattern: str) -> list[str] | None:
+    """The alternatives of a signature made of letters, digits and a few signs alone; None for any other."""
+    inner = pattern[1:-1] if pattern.startswith("(") and pattern.endswith(")") else pattern
+    parts = inner.split("|")
+    return parts if all(PLAIN.fullmatch(part) for part in parts) else None
+
+
+def hits_pattern(alternatives: list[str]) -> str:
+    """Zero-width at every place where an alternative begins, capturing as many characters as the longest has.
+
+    The places are tested by their first character before anything else; an
+    alternative that begins with another one needs no test of its own.
+    """
+    firsts = "".join(sorted({part[0].lower() for part in alternatives}))
+    low = [part.lower() for part in alternatives]
+    needed = [part for k, part in enumerate(alternatives) if not any(low[k].startswith(other) and (other != low[k] or j < k) for j, other in enumerate(low) if j != k)]
+    longest = max(map(len, alternatives))
+    return ci(f"(?=[{firsts}])(?={'|'.join(needed)})(?=([\\s\\S]{{0,{longest}}}))")
+
+
 def match_patterns(df: DataFrame, text: str = "log_text", cfg: TriageConfig = DEFAULT) -> DataFrame:
     """A3: ``matched_patterns`` — names of the signatures found anywhere in the text,
-    in configuration order."""
+    in configuration order.
+
+    One pass finds the places where any alternative of any plain signature begins, and
+    what stands there; which signatures they satisfy is told from these few
+    characters, so overlaps count for each.  Other signatures, and all of them in
+    ``strict`` mode, are searched one by one.
+    """
     names = list(cfg.signatures)
-    flagged = df.select(
-        "*",
-        *[F.col(text).rlike(ci(cfg.signatures[n], cfg.strict)).alias(_flag(i)) for i, n in enumerate(names)],
-    )
+    plain = {} if cfg.strict else {n: parts for n in names if (parts := plain_alternatives(cfg.signatures[n]))}
+    found = df
+    if len(plain) > 1:
+        every = [part for parts in plain.values() for part in parts]
+        found = df.withColumn("_hits", F.regexp_extract_all(F.col(text), F.lit(hits_pattern(every)), F.lit(1)))
+
+    def flag(name: str) -> Column:
+        pattern = ci(cfg.signatures[name], cfg.strict)
+        if len(plain) > 1 and name in plain:
+            return F.exists("_hits", lambda hit: hit.rlike(pattern))
+        return F.col(text).rlike(pattern)
+
+    flagged = found.select("*", *[flag(n).alias(_flag(i)) for i, n in enumerate(names)]).drop("_hits")
     return flagged.withColumn(
         "matched_patterns",
         F.filter(
