@@ -23,7 +23,9 @@ def _prompts(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return G.ngram_counts(_corpus(spark, sf_dir), N)
+    """Counts dealt by context, for what is grouped by it."""
+    corpus = _corpus(spark, sf_dir)
+    return G.ngram_counts(corpus, N, buckets=G.context_buckets(corpus))
 
 
 def q_corpus_stats(spark, sf_dir):
@@ -36,7 +38,7 @@ def q_corpus_stats(spark, sf_dir):
 
 
 def q_ngram_counts(spark, sf_dir):
-    return _counts(spark, sf_dir)
+    return G.ngram_counts(_corpus(spark, sf_dir), N)
 
 
 def q_ngram_model(spark, sf_dir):

@@ -94,3 +94,10 @@ def proven_size(df: DataFrame, limit: int) -> Size | None:
 def fits_broadcast(df: DataFrame, max_bytes: int, max_rows: int = MAX_ROWS) -> bool:
     size = proven_size(df, max_bytes)
     return size is not None and size.rows <= max_rows and size.bytes <= max_bytes
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of what ``df`` reads, by the optimizer's statistics; 0 where they don't tell."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _items(plan.collectLeaves()))
+    return size if size < 1 << 50 else 0
