@@ -2,14 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame; ``run`` writes
 it as Parquet in the shared checkpoint folder and the next stage reads that.
-All but the last return the columns of ``documents``:
+All but the last return the columns of ``documents``, the mix also ``mix_slot``:
 
 1. the quality network rejects documents that score below 0.7;
 2. the certified quality rules reject documents that fail the base or a cutoff;
 3. near copies (five-word shingles, similarity 0.8) leave one document a group;
 4. the sources are mixed to their target weights: all documents are written in
    the order of the schedule, the surplus of over-represented sources last;
-5. the documents are packed into sequences of 2,048 tokens, a row for each piece.
+5. the documents are packed into sequences of 2,048 tokens, a row for each piece; the
+   sequences follow the slots of the mix.
 
 SQL can't express the network, the near copies or the packing, so there is no
 oracle; tests compare the stages with brute-force versions.
@@ -42,13 +43,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the schedule."""
-    return mixing.mix(docs)
+    """All documents, in the order of the schedule, with their slot in it."""
+    return mixing.mix(docs, slot="mix_slot")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of the packed documents."""
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    """A row for each piece of the packed documents, along the mix."""
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), order="mix_slot")
 
 
 STAGES = [

@@ -121,9 +121,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 16, exponent: float = 0.9) -> DataFrame:
-    """All documents, with their columns, ordered by the schedule across the files written from it."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 16, exponent: float = 0.9, slot: str | None = None) -> DataFrame:
+    """All documents, with their columns, ordered by the schedule across the files written from it;
+    with ``slot`` their slot as a column of that name, for steps after which files have another order."""
     plan = schedule(docs, weights, block_bytes, exponent).select("m_source", "m_doc", "m_key", "slot")
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m_row"), *[c.alias(n) for c, n in zip(_identity(docs), ("d_source", "d_doc", "d_key"))])
     same = F.col("d_source").eqNullSafe(F.col("m_source")) & F.col("d_doc").eqNullSafe(F.col("m_doc")) & (F.col("d_key") == F.col("m_key"))
-    return mine.join(plan, same).repartitionByRange("slot", "m_key").sortWithinPartitions("slot", "m_source", "m_key").select("m_row.*")
+    return mine.join(plan, same).repartitionByRange("slot", "m_key").sortWithinPartitions("slot", "m_source", "m_key").select("m_row.*", *([F.col("slot").alias(slot)] if slot else []))

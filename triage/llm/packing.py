@@ -11,6 +11,11 @@ distributed: rounds work on the counts by length (at most 2,048, from one
 aggregate) and give intervals of ranks, to which every piece is matched by its
 own rank.
 
+With an order of the documents (such as the slots of a mix), the same sequences are filled
+along it: of each length, the pieces go in their order to the places in the order of the
+sequences, and a sequence's order is that of the piece that opened it.  Any part of the
+sequences, taken in order, then has each length's share of that part of the documents.
+
 Edge cases: a null or empty text is one piece, its end id; null or repeated
 ``doc_id``s are packed as rows of their own; an empty table gives no rows.
 """
@@ -31,22 +36,23 @@ from . import scratch
 from .encoding import encoder
 from .numbering import number_within
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, place long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+MOVED = PLACED + ", rank long, place long"
 
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, spaces=False).encode
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64()), ("place", pa.int64())])
         for batch in batches:
             out: list[tuple] = []
             texts = (x.as_py() for x in batch["text"])
-            for doc_id, row, ids in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), encode(texts)):
+            for doc_id, row, place, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "row", "place")), encode(texts)):
                 ids = np.append(ids, np.int32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), row))
+                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), row, place))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
     return cut
@@ -112,16 +118,39 @@ def _placed(rounds: list[tuple[int, int, int, int, int]]):
             nth = rank - first_rank
             columns = [batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             more = [pa.array(first + nth // each), pa.array(offset + nth % each * length)]
-            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            more += [batch["rank"], batch["place"]] if "place" in batch.schema.names else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=MOVED.replace(" long", "").replace(" int", "").split(", ")[: len(columns + more)])
 
     return place
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, order: str | None = None) -> DataFrame:
+    """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    ``order``: a column of numbers from 0 on along which the sequences run, by rising
+    ``sequence_id`` (with gaps then) and in the files written from the result."""
+    place = F.lit(0) if order is None else F.coalesce(F.col(order), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"), place.cast("long").alias("place"))
     pieces = scratch.saved(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     rounds = best_fit_rounds(counts, capacity)
-    ranked = number_within(pieces, "length", ["doc_id", "piece", "row"], sum(counts.values()), "rank")
+    ties, n = ["doc_id", "piece", "row"], sum(counts.values())
+    if order is not None:
+        ranked = number_within(pieces, "length", ties, n, "rank", along="place")
+        ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"), "place")
+        return _along(scratch.saved(ranked.mapInArrow(_placed(rounds), MOVED), "placed"), n)
+    ranked = number_within(pieces, "length", ties, n, "rank")
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(_placed(rounds), PLACED)
+
+
+def _along(placed: DataFrame, n: int) -> DataFrame:
+    """The same sequences of ``n`` pieces, filled and numbered along ``place``."""
+    opened = placed.where("offset = 0").select(F.col("sequence_id").alias("opened"), F.col("place").alias("begins"))
+    spots = placed.select("length", "sequence_id", "offset").join(opened, F.col("sequence_id") == F.col("opened")).drop("opened")
+    spots = number_within(scratch.saved(spots, "spots"), "length", ["sequence_id", "offset"], n, "nth", along="begins")
+    numbered = (F.col("begins") * F.lit(n) + F.col("sequence_id")).alias("sequence_id")
+    spots = spots.select(F.col("length").alias("of"), F.col("nth").cast("long").alias("nth"), numbered, "offset")
+    pieces = placed.drop("sequence_id", "offset", "place")
+    out = pieces.join(spots, (F.col("length") == F.col("of")) & (F.col("rank") == F.col("nth")))
+    out = out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset")
