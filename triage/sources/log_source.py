@@ -25,11 +25,13 @@ from __future__ import annotations
 
 import datetime
 import fnmatch
+import itertools
 import sys
 import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -268,3 +270,39 @@ def write_logs(logs: DataFrame, root: str) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return logs.select("log_path", "log_text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_lines(lines: DataFrame, root: str) -> int:
+    """Write ``log_path, line`` rows as the lines of files ``<root>/<log_path>``; the number of lines.
+
+    The lines of a file go through one task and reach it as they come, so neither a row nor a
+    task holds a file, whatever its length.  Files get their names when they are whole.
+    """
+    spark = lines.sparkSession
+    named = _options(spark, root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_store(named["scheme"], named["authority"], named["root"])
+        made: set[str] = set()
+        full = hidden = file = None
+        for batch in batches:
+            rows = zip(batch["log_path"].to_pylist(), batch["line"].to_pylist())
+            for path, same in itertools.groupby(rows, itemgetter(0)):
+                if file is None or full != f"{top.rstrip('/')}/{path}":
+                    if file is not None:
+                        file.close()
+                        store.move(hidden, full)
+                    full = f"{top.rstrip('/')}/{path}"
+                    folder = full.rsplit("/", 1)[0]
+                    if folder not in made:
+                        store.create_dir(folder)
+                        made.add(folder)
+                    hidden = f"{folder}/.{zlib.crc32(full.encode()):08x}.{time.time_ns()}"
+                    file = store.open_output_stream(hidden)
+                file.write("".join(f"{line or ''}\n" for _, line in same).encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+        if file is not None:
+            file.close()
+            store.move(hidden, full)
+
+    return lines.select("log_path", "line").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
