@@ -31,7 +31,9 @@ def read_run_events(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
     app_id = F.regexp_replace(F.when(folder != "", folder).otherwise(name), r"^(application_\d+_\d+)_\d+$", "$1")
     named = lines.select(app_id.alias("app_id"), event.alias("event"), "value")
     named = named.where(F.col("event").isin(*kinds) if kinds else F.col("event") != "")
-    return named.select("app_id", "event", F.try_parse_json("value").alias("body")).where(F.col("body").isNotNull())
+    # a generated column: a filter on it stays above, and a line is parsed once
+    parsed = named.select("app_id", "event", F.explode(F.array(F.try_parse_json("value"))).alias("body"))
+    return parsed.where(F.col("body").isNotNull())
 
 
 def _at(path: str, kind: str, base: str = "body") -> Column:
