@@ -73,7 +73,8 @@ def q_stored_event_dedup(spark, sf_dir):
 def _written_logs(spark, sf_dir):
     """The logs as files, a quarter of them in one folder; the folder of the logs."""
     path = new_folder(spark, "log-files")
-    write_logs(synth_logs(spark, sf_dir).repartition("log_path"), path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small logs are not merged into a few tasks
+    write_logs(synth_logs(spark, sf_dir).repartition(parts, "log_path"), path)
     return f"{path}/logs"
 
 
@@ -87,7 +88,7 @@ def _streamed_events(spark, sf_dir, path):
     """The failure events with a run each, as JSON files; every third one is sent twice."""
     events = synth_failure_events(spark, sf_dir).withColumn("run_id", F.concat("run_id", F.lit("_"), F.col("event_id").cast("string")))
     events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    write_events(events.union(events.where("event_id % 3 = 0")).drop("event_id").repartition(4, "log_path"), path)
+    write_events(events.union(events.where("event_id % 3 = 0")).drop("event_id"), path)
 
 
 def q_stream_dedup(spark, sf_dir):
