@@ -15,6 +15,7 @@ from ..session import new_folder
 from ..sources.events import event_stream, read_events, write_events
 from ..sources.log_source import write_logs
 from ..sources.logs import read_logs
+from ..sources.sizes import input_bytes
 from ..sources.synth import SYNTH_FAILURE_EVENTS_SQL, duck, synth_failure_events, synth_logs
 from ..sources.tables import read_table, table_path
 from ..streaming.triage_stream import read_stream_output, triage_arrivals
@@ -84,11 +85,15 @@ def q_stored_logs(spark, sf_dir):
     return read.select("log_path", "task_id", F.length("log_text").cast("bigint").alias("n_chars"), "error_type", "error_message", F.col("cls_confidence"))
 
 
+EVENT_FILE_BYTES = 8 << 20  # of the events table, to a file of derived events
+
+
 def _streamed_events(spark, sf_dir, path):
     """The failure events with a run each, as JSON files; every third one is sent twice."""
     events = synth_failure_events(spark, sf_dir).withColumn("run_id", F.concat("run_id", F.lit("_"), F.col("event_id").cast("string")))
     events = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    write_events(events.union(events.where("event_id % 3 = 0")).drop("event_id"), path)
+    parts = max(4, input_bytes(events) // EVENT_FILE_BYTES)  # of events that share a key, files and their order decide which comes first
+    write_events(events.union(events.where("event_id % 3 = 0")).drop("event_id").repartition(parts, "log_path"), path)
 
 
 def q_stream_dedup(spark, sf_dir):
