@@ -38,7 +38,7 @@ def q_corpus_stats(spark, sf_dir):
 
 
 def q_ngram_counts(spark, sf_dir):
-    return G.ngram_counts(_corpus(spark, sf_dir), N)
+    return G.ngram_counts(_corpus(spark, sf_dir), N).sortWithinPartitions("context", "token")
 
 
 def q_ngram_model(spark, sf_dir):
