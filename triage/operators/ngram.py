@@ -264,7 +264,7 @@ def _bucketed(df: DataFrame, path: str, buckets: int) -> DataFrame:
     """``df`` written once, one folder per hash bucket of its contexts, and read back:
     a step reads the buckets its live prompts are in and no others."""
     rows, _ = _dealt(df, buckets) if "bucket" not in df.columns else (df, buckets)
-    rows.sortWithinPartitions("bucket", "context").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.sortWithinPartitions("bucket", "context").write.mode("overwrite").partitionBy("bucket").parquet(path, compression="zstd")
     fields = [f for f in df.schema.fields if f.name != "bucket"]
     schema = T.StructType([*fields, T.StructField("bucket", T.IntegerType())])
     return df.sparkSession.read.schema(schema).parquet(path)
