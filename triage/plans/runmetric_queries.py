@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import runmetrics as E
 from ..session import new_folder
-from ..sources.log_source import write_lines
+from ..sources.log_source import write_rolls
 from ..sources.tables import read_table
 
 TASKS_SQL = """
@@ -104,17 +104,10 @@ def _event_log(spark, sf_dir):
             F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" tasks failed"))).alias("Failure Reason"),
         ).alias("Stage Info"),
     )
-    kinds = {"task": tasks.select(task.alias("x")).schema["x"].dataType, "stage": stages.select(stage.alias("x")).schema["x"].dataType}
-    none = {k: F.lit(None).cast(kind).alias(k) for k, kind in kinds.items()}
-    events = tasks.select("app_id", task.alias("task"), none["stage"]).union(stages.select("app_id", none["task"], stage.alias("stage")))
-    # a row for each application; by its own number of events, or there are files of a few lines
-    files = tasks.groupBy("app_id").agg(F.ceil(F.count(F.lit(1)) / LINES).alias("files"))
-    rolls = F.pmod(F.xxhash64("task", "stage"), F.col("files")).cast("string")
-    path = F.concat(F.lit("eventlog_v2_"), "app_id", F.lit("/events_"), rolls, F.lit("_"), "app_id")
-    placed = events.join(F.broadcast(files), "app_id", "left").select(path.alias("log_path"), "task", "stage")
-    dealt = placed.repartition("log_path").sortWithinPartitions("log_path")
+    # in order: a repeated task writes the same files
+    ended = stages.sortWithinPartitions("app_id", "stage_id", "stage_attempt").select("app_id", F.to_json(stage).alias("line"))
     folder = new_folder(spark, "event-logs")
-    write_lines(dealt.select("log_path", F.coalesce(F.to_json("task"), F.to_json("stage")).alias("line")), folder)
+    write_rolls(tasks.select("app_id", F.to_json(task).alias("line")).union(ended), folder, LINES)
     return folder
 
 

@@ -29,13 +29,16 @@ import itertools
 import sys
 import time
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -45,6 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LISTING = "file_path string, log_path string, length bigint, modified timestamp"
 TAILS = LISTING + ", raw binary, error string"
 BLOCK_BYTES, BATCH_BYTES, BATCH_ROWS = 1 << 18, 1 << 24, 1_000
+HELD_BYTES = 1 << 26  # of unfilled rolls in a task
+LINES = pa.schema([("app_id", pa.string()), ("line", pa.string())])
 MAX_TAIL_BYTES = 1 << 29  # a longer tail can't be one value; its end is kept
 STORES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 
@@ -272,37 +277,92 @@ def write_logs(logs: DataFrame, root: str) -> int:
     return logs.select("log_path", "log_text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def write_lines(lines: DataFrame, root: str) -> int:
-    """Write ``log_path, line`` rows as the lines of files ``<root>/<log_path>``; the number of lines.
-
-    The lines of a file go through one task and reach it as they come, so neither a row nor a
-    task holds a file, whatever its length.  Files get their names when they are whole.
-    """
-    spark = lines.sparkSession
-    named = _options(spark, root)
+def _rolls(named: dict[str, str], size: int, parts: int | None):
+    """Task code that writes ``app_id, line`` rows as rolls; with ``parts``, only full ones: rows
+    ``bucket, frame`` are what is left, a frame for each bucket of applications."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = open_store(named["scheme"], named["authority"], named["root"])
+        # a repeated task gives its rolls the same numbers, others give others
+        first = (2 * TaskContext.get().partitionId() + (parts is None)) << 32
+        numbers, zstd = itertools.count(first), pa.Codec("zstd", 3)
+        held: dict[str, list[pa.Array]] = {}
+        n: Counter[str] = Counter()
         made: set[str] = set()
-        full = hidden = file = None
-        for batch in batches:
-            rows = zip(batch["log_path"].to_pylist(), batch["line"].to_pylist())
-            for path, same in itertools.groupby(rows, itemgetter(0)):
-                if file is None or full != f"{top.rstrip('/')}/{path}":
-                    if file is not None:
-                        file.close()
-                        store.move(hidden, full)
-                    full = f"{top.rstrip('/')}/{path}"
-                    folder = full.rsplit("/", 1)[0]
-                    if folder not in made:
-                        store.create_dir(folder)
-                        made.add(folder)
-                    hidden = f"{folder}/.{zlib.crc32(full.encode()):08x}.{time.time_ns()}"
-                    file = store.open_output_stream(hidden)
-                file.write("".join(f"{line or ''}\n" for _, line in same).encode("utf-8"))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-        if file is not None:
-            file.close()
-            store.move(hidden, full)
 
-    return lines.select("log_path", "line").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        def roll(app: str) -> int:
+            pieces = held.pop(app)
+            lines = pa.concat_arrays(pieces)
+            text = pc.binary_join(pa.ListArray.from_arrays([0, n.pop(app)], lines), "\n")[0].as_py() + "\n"
+            folder = f"{top.rstrip('/')}/eventlog_v2_{app}"
+            if folder not in made:
+                store.create_dir(folder)
+                made.add(folder)
+            full = f"{folder}/events_{next(numbers)}_{app}.zstd"
+            hidden = f"{folder}/.{zlib.crc32(full.encode()):08x}.{time.time_ns()}"
+            with store.open_output_stream(hidden, compression=None) as file:
+                file.write(zstd.compress(text.encode("utf-8")))
+            store.move(hidden, full)
+            return sum(x.nbytes for x in pieces)
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if parts is None:
+                for app in sorted(held):
+                    roll(app)
+                return
+            for bucket, apps in itertools.groupby(sorted((zlib.crc32(app.encode()) % parts, app) for app in held), itemgetter(0)):
+                apps = [app for _, app in apps]
+                columns = [pa.concat_arrays([pa.repeat(app, n[app]) for app in apps]), pa.concat_arrays([x for app in apps for x in held[app]])]
+                frame = pa.BufferOutputStream()
+                with pa.ipc.new_stream(frame, LINES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays(columns, schema=LINES))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([frame.getvalue().to_pybytes()], pa.binary())], names=["bucket", "frame"])
+            held.clear()
+            n.clear()
+
+        space = 0
+        for batch in batches:
+            apps = batch["app_id"].cast(pa.string()).fill_null("None").dictionary_encode()
+            lines = batch["line"].cast(pa.string()).fill_null("")
+            codes = apps.indices.to_numpy()
+            order, high = np.argsort(codes, kind="stable"), 0
+            for app, many in zip(apps.dictionary.to_pylist(), np.bincount(codes, minlength=len(apps.dictionary)).tolist()):
+                low, high = high, high + many
+                while low < high:
+                    some = lines.take(pa.array(order[low : min(high, low + size - n[app])]))  # a copy: no batch is held
+                    held.setdefault(app, []).append(some)
+                    n[app] += len(some)
+                    low += len(some)
+                    space += some.nbytes
+                    if n[app] == size:
+                        space -= roll(app)
+            if space >= HELD_BYTES:
+                yield from rest()
+                space = 0
+        yield from rest()
+
+    return write
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for frame in batch["frame"]:
+            yield from pa.ipc.open_stream(frame.as_buffer())
+
+
+def write_rolls(lines: DataFrame, root: str, size: int) -> None:
+    """Write ``app_id, line`` rows as rolling event logs ``<root>/eventlog_v2_<app>/events_<number>_<app>.zstd``,
+    about ``size`` lines a file.
+
+    A task writes the rolls it can fill by itself.  Only what is left of an application in each task
+    is shuffled, packed and compressed, to fill rolls together; a short one is the last of its
+    application, or a task held HELD_BYTES of unfilled ones.  A repeated task writes the same files, if
+    its rows come in the same order.
+    """
+    spark = lines.sparkSession
+    named = _options(spark, root)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = lines.select("app_id", "line").mapInArrow(_rolls(named, size, parts), "bucket int, frame binary")
+    dealt = left.repartition("bucket").mapInArrow(_unpacked, "app_id string, line string")
+    in_order = dealt.sortWithinPartitions("app_id", "line")
+    in_order.mapInArrow(_rolls(named, size, None), "bucket int, frame binary").count()
